@@ -28,6 +28,7 @@ from trellis.llm.tokens import TOKENIZERS
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 TRAIN_DOCS = 3000
 MIN_WORDS = 15
+UNSURE_WORDS, UNSURE = 3, 0.99
 LONGEST_PIECE = 12
 FLOOR = 1e-7
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -179,15 +180,16 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
             out: list[tuple] = []
             for doc_id, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 last, k = None, 0
-                for p in own_paragraphs(text):
-                    if words := paragraph_words(p):
-                        lang, confidence = model.paragraph(words)
-                        if lang == last:
-                            n = out[-1][5]
-                            out[-1] = (*out[-1][:4], (out[-1][4] * n + confidence * len(words)) / (n + len(words)), n + len(words))
-                        else:
-                            out.append((doc_id, label, k, LANGUAGES[lang], confidence, len(words)))
-                            last, k = lang, k + 1
+                scored = [(*model.paragraph(words), words) for p in own_paragraphs(text) if (words := paragraph_words(p))]
+                for at, (lang, confidence, words) in enumerate(scored):
+                    if len(words) <= UNSURE_WORDS and confidence < UNSURE and len(scored) > 1:  # a greeting that is mostly a name goes with its neighbour
+                        lang = scored[at + 1][0] if at + 1 < len(scored) else scored[at - 1][0]
+                    if lang == last:
+                        n = out[-1][5]
+                        out[-1] = (*out[-1][:4], (out[-1][4] * n + confidence * len(words)) / (n + len(words)), n + len(words))
+                    else:
+                        out.append((doc_id, label, k, LANGUAGES[lang], confidence, len(words)))
+                        last, k = lang, k + 1
             columns = list(zip(*out, strict=True)) or [()] * 6
             types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["doc_id", "label", "segment", "lang", "confidence", "n_words"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import language, leaks, tokens
+from trellis.llm import clusters, language, leaks, tokens, vectors
 from trellis.tables import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,28 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(read(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nearest(read(spark, d, "vector_entries"), read(spark, d, "vector_indexes"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_pairs(_neighbours(spark, d))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = clusters.clustered(read(spark, d, "vector_entries"), read(spark, d, "vector_indexes"))
+    return members.select("index_name", "node_id", "cluster_key")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster's size and its most persistent members."""
+    return clusters.clustered(read(spark, d, "vector_entries"), read(spark, d, "vector_indexes"))[1]
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_documents(spark, d))
 
@@ -40,6 +62,10 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_items": p8_items,
