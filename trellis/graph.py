@@ -16,6 +16,7 @@ from trellis.cypher.compiler import Compiler
 from trellis.cypher.parser import parse, split_statements
 from trellis.cypher.values import ref
 from trellis.exceptions import ConstraintError, InvalidFilterError, InvalidLabelError, InvalidPropertyError, NodeNotFoundError, RelationshipNotFoundError, TrellisError
+from trellis.operators import search, traversal
 from trellis.functions.filters import LabelFilter, PropertyFilterGroup, SortOrder, condition, order_columns
 from trellis.tables import cut
 
@@ -48,6 +49,24 @@ class Graph:
         self.state = self.state.but(rels=(*self.state.rels, table))
         return self
 
+    def register_json(self, nodes: DataFrame, rels: DataFrame, node_props: dict[str, str], rel_props: dict[str, str]) -> Graph:
+        """Tables of (id, labels, properties, uri) and (id, source_node_id, target_node_id, type, properties, uri) with JSON properties.
+
+        The named properties become typed columns, null where a text is invalid. Exact copies count once, as do
+        redeliveries of a relationship; rows without an id or an end are no part of the graph.
+        """
+
+        def table(kind: str, df: DataFrame, system: list[Any], props: dict[str, str]) -> Table:
+            cols = [F.try_variant_get("_json", f"$['{k}']", t).alias("p_" + k) for k, t in props.items()]
+            out = df.withColumn("_json", F.try_parse_json("properties")).select(*system, *cols)
+            return Table(kind, out.dropDuplicates(["id"]), {k: out.schema["p_" + k].dataType for k in props})
+
+        good = rels.where(F.col("id").isNotNull() & F.col("source_node_id").isNotNull() & F.col("target_node_id").isNotNull())
+        n = table("node", nodes.where(F.col("id").isNotNull()), [F.col("id"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.col("uri")], node_props)
+        r = table("rel", good, [F.col("id"), F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst"), F.col("type"), F.col("uri")], rel_props)
+        self.state = self.state.but(nodes=(*self.state.nodes, n), rels=(*self.state.rels, r))
+        return self
+
     def global_id(self, label: str, key: int) -> int:
         return self.ordinals[label] * catalog.ORDINAL + key
 
@@ -57,7 +76,7 @@ class Graph:
         return compiler.output(compiler.query(parse(query)))
 
     def rows(self, query: str, params: dict[str, Any] | None = None) -> list[dict[str, Any]]:
-        return [r.asDict(recursive=True) for r in self.execute(query, params).collect()]
+        return [{k: python_value(v) for k, v in r.asDict(recursive=True).items()} for r in self.execute(query, params).collect()]
 
     def execute_script(self, script: str) -> list[DataFrame]:
         return [self.execute(s) for s in split_statements(script)]
@@ -312,6 +331,131 @@ class Graph:
         self.commit(self.state.but(rels=tuple(replace(t, df=t.df.where(F.col("id") != rel_id)) for t in self.state.rels)))
         return True
 
+    # paths
+    def find_shortest_path(self, source: int, target: int) -> list[int] | None:
+        return traversal.find_shortest_path(self, source, target)
+
+    def find_path(self, source: int, target: int, max_depth: int = 5) -> list[int] | None:
+        return traversal.find_path(self, source, target, max_depth)
+
+    def find_all_paths(self, source: int, target: int, max_depth: int = 5) -> DataFrame:
+        return traversal.find_all_paths(self, source, target, max_depth)
+
+    # full-text search: an index is a list of properties; its content is computed from the snapshot
+    def create_text_index(self, entity: str, label: str | None, props: list[str] | str, weight: float = 1.0) -> None:
+        entry = {"entity": entity, "label": label, "props": [props] if isinstance(props, str) else list(props), "weight": weight}
+        kept = [x for x in self.state.texts.get("indexes", []) if (x["entity"], x["label"]) != (entity, label)]
+        self.state = self.state.but(texts=self.state.texts | {"indexes": [*kept, entry]})
+
+    def drop_text_index(self, entity: str, label: str | None) -> bool:
+        before = self.state.texts.get("indexes", [])
+        kept = [x for x in before if (x["entity"], x["label"]) != (entity, label)]
+        self.state = self.state.but(texts=self.state.texts | {"indexes": kept})
+        return len(kept) < len(before)
+
+    def list_text_indexes(self) -> list[dict]:
+        return list(self.state.texts.get("indexes", []))
+
+    def text_content(self) -> DataFrame:
+        """entity_type, entity_id, label_type, content: one row per node and label, or per relationship."""
+        parts = []
+        for x in self.list_text_indexes():
+            df = self.frame(x["entity"] if x["entity"] == "node" else "rel", (x["label"],) if x["label"] else ())
+            words = [ref("p_" + p).cast("string") for p in x["props"] if "p_" + p in df.columns]
+            content = F.concat_ws(" ", *words) if words else F.lit("")
+            label = F.explode("labels") if x["entity"] == "node" else F.col("type")
+            part = df.select(F.lit(x["entity"]).alias("entity_type"), F.col("id").alias("entity_id"), label.alias("label_type"), content.alias("content"))
+            if x["label"]:
+                part = part.where(F.lower("label_type") == x["label"].lower())
+            parts.append(part.where(F.col("content") != ""))
+        if not parts:
+            return self.spark.createDataFrame([], "entity_type string, entity_id bigint, label_type string, content string")
+        return reduce(DataFrame.unionByName, parts)
+
+    def text_search(self, query: str, k: int | None = None, labels: list[str] | None = None, rel_types: list[str] | None = None) -> DataFrame:
+        """entity_type, entity_id, label_type, score; the lower the better. Labels alone leave nodes only, types alone relationships only."""
+        docs = self.text_content()
+        if labels or rel_types:
+            tests = []
+            for kind, names in (("node", labels), ("relationship", rel_types)):
+                if names:
+                    tests.append((F.col("entity_type") == kind) & F.lower("label_type").isin(*[x.lower() for x in names]))
+            docs = docs.where(reduce(lambda a, b: a | b, tests))
+        found = search.bm25(docs, ["entity_type", "entity_id", "label_type"], "content", query, k or self.top_k, positive_idf=False)
+        return found.withColumn("score", -F.col("score"))
+
+    # vectors
+    def create_vector_index(self, name: str, dim: int, metric: str = "cosine", default_k: int | None = None, embedder: Callable | str | None = None, if_not_exists: bool = False) -> None:
+        if name in self.state.vectors:
+            if if_not_exists:
+                return
+            raise TrellisError(f"vector index {name} exists")
+        if dim < 1 or metric not in ("cosine", "l2", "ip"):
+            raise TrellisError("a vector index needs a dimension and a metric of cosine, l2 or ip")
+        entry = {"dim": dim, "metric": metric, "default_k": default_k, "embedder": embedder, "df": None}
+        self.state = self.state.but(vectors=self.state.vectors | {name: entry})
+
+    def drop_vector_index(self, name: str) -> None:
+        self.vector_index(name)
+        self.state = self.state.but(vectors={k: v for k, v in self.state.vectors.items() if k != name})
+
+    def list_vector_indexes(self) -> list[str]:
+        return sorted(self.state.vectors)
+
+    def vector_index(self, name: str) -> dict:
+        if name not in self.state.vectors:
+            raise TrellisError(f"no vector index {name}")
+        return self.state.vectors[name]
+
+    def upsert_embeddings(self, name: str, entries: DataFrame | list[tuple[int, list[float]]]) -> None:
+        """(node_id, vector) rows; a node's later vector replaces its earlier one."""
+        entry = self.vector_index(name)
+        if isinstance(entries, list):
+            if any(len(v) != entry["dim"] for _, v in entries):
+                raise TrellisError(f"vectors of {name} have {entry['dim']} dimensions")
+            entries = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in dict(entries).items()], "node_id bigint, vector array<double>")
+        entries = entries.select(F.col("node_id").cast("bigint").alias("node_id"), F.col("vector").cast("array<double>").alias("vector"))
+        old = entry["df"]
+        df = entries if old is None else old.join(entries, "node_id", "left_anti").unionByName(entries)
+        self.state = self.state.but(vectors=self.state.vectors | {name: entry | {"df": df}})
+
+    def remove_embeddings(self, name: str, ids: list[int]) -> None:
+        entry = self.vector_index(name)
+        if entry["df"] is not None:
+            self.state = self.state.but(vectors=self.state.vectors | {name: entry | {"df": entry["df"].where(~F.col("node_id").isin(*ids))}})
+
+    def register_embedder(self, name: str, f: Callable[[list[str]], list[list[float]]]) -> None:
+        self.embedders[name] = f
+
+    def register_reranker(self, name: str, f: Callable[[list[float], list[dict]], list]) -> None:
+        self.rerankers[name] = f
+
+    def semantic_search(
+        self, query: list[float] | str, k: int | None = None, index: str = "default", labels: LabelFilter | None = None, properties: Any = None, rerank: bool = False, reranker: str | None = None, candidate_multiplier: int = 4
+    ) -> DataFrame:
+        """node_id and score of the k nearest existing nodes; exact, the candidates filtered before they are scored."""
+        entry = self.vector_index(index)
+        k = k or entry["default_k"] or self.top_k
+        if isinstance(query, str):
+            f = entry["embedder"] if callable(entry["embedder"]) else self.embedders.get(str(entry["embedder"]))
+            if f is None:
+                raise TrellisError(f"vector index {index} has no embedding function")
+            query = f([query])[0]
+        if len(query) != entry["dim"]:
+            raise TrellisError(f"vectors of {index} have {entry['dim']} dimensions")
+        vectors = entry["df"]
+        if vectors is None:
+            return self.spark.createDataFrame([], "node_id bigint, score double")
+        nodes = self.match_nodes(labels, properties).select("id")
+        vectors = vectors.join(nodes, vectors["node_id"] == nodes["id"], "left_semi")
+        if reranker is not None:
+            top = search.nearest(vectors, "node_id", "vector", query, k * candidate_multiplier, entry["metric"])
+            rows = top.join(vectors, "node_id").collect()  # at most k * candidate_multiplier
+            given = self.rerankers[reranker](query, [{"id": r.node_id, "score": r.score, "vector": r.vector} for r in sorted(rows, key=lambda r: -r.score)])
+            pairs = [(x["id"], float(x["score"])) if isinstance(x, dict) else (x[0], float(x[1])) for x in given]
+            return self.spark.createDataFrame(sorted(pairs, key=lambda p: -p[1])[:k], "node_id bigint, score double")
+        return search.nearest(vectors, "node_id", "vector", query, k, entry["metric"], rerank)
+
     # indexes and constraints: a catalogue; Parquet statistics and bucketing do an index's work
     def create_index(self, entity: str, label: str | None, prop: str, unique: bool = False) -> Index:
         name = "_".join(x for x in ("idx", entity, label, prop) if x).lower()
@@ -385,8 +529,17 @@ class Graph:
             raise ConstraintError(f"{c.name} is violated")
 
 
+def python_value(v: Any) -> Any:
+    """Dynamic values as Python's, at any depth."""
+    if hasattr(v, "toPython"):
+        return v.toPython()
+    if isinstance(v, list):
+        return [python_value(x) for x in v]
+    return {k: python_value(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+
 def record(row: dict[str, Any]) -> dict[str, Any]:
     """A row of a frame as a record with its non-null properties."""
     out = {k: v for k, v in row.items() if not k.startswith("p_")}
-    out["properties"] = {k[2:]: v.toPython() if hasattr(v, "toPython") else v for k, v in row.items() if k.startswith("p_") and v is not None}
+    out["properties"] = {k[2:]: python_value(v) for k, v in row.items() if k.startswith("p_") and v is not None}
     return out
