@@ -225,7 +225,7 @@ def search(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, le
 def by_cell(vectors: DataFrame, extra: bool = True) -> DataFrame:
     """One row per vector and visited cell, `is_home` in its own."""
     cells = F.explode("cells") if extra else F.col("home")
-    return vectors.select("index_name", cells.alias("cell"), "node_id", "vec", "home", F.size("cells").alias("n_cells")).withColumn("is_home", F.col("cell") == F.col("home"))
+    return vectors.select("index_name", cells.alias("cell"), "node_id", "vec", "home").withColumn("is_home", F.col("cell") == F.col("home"))
 
 
 def _neighbours(k: int) -> Callable[[pa.Table], pa.Table]:
@@ -240,7 +240,7 @@ def _neighbours(k: int) -> Callable[[pa.Table], pa.Table]:
         counts = np.r_[0, np.cumsum(held.sum(axis=1))].astype(np.int32)
         near = pa.ListArray.from_arrays(pa.array(counts), pa.array(ids[member][best[held]] if len(member) else np.zeros(0, np.int64)))
         sims = pa.ListArray.from_arrays(pa.array(counts), pa.array(score[held].astype(np.float64)))
-        return pa.Table.from_arrays([t.column("index_name"), t.column("node_id"), t.column("n_cells"), near, sims], names=["index_name", "node_id", "n_cells", "neighbours", "sims"])
+        return pa.Table.from_arrays([t.column("index_name"), t.column("node_id"), near, sims], names=["index_name", "node_id", "neighbours", "sims"])
 
     return run
 
@@ -250,14 +250,13 @@ def nearest(entries: DataFrame, indexes: DataFrame, k: int = 10) -> DataFrame:
     versions = packed(entries, indexes)
     trees = fit_trees(versions, entries, indexes, k)
     found = by_cell(current_routed(versions, trees)).groupBy("index_name", "cell").applyInArrow(
-        _neighbours(k), "index_name string, node_id bigint, n_cells int, neighbours array<bigint>, sims array<double>"
+        _neighbours(k), "index_name string, node_id bigint, neighbours array<bigint>, sims array<double>"
     )
     pairs = F.transform(F.arrays_zip("neighbours", "sims"), lambda x: F.struct((-x.sims).alias("s"), x.neighbours.alias("n")))
-    found = found.select("index_name", "node_id", "n_cells", pairs.alias("near"))
-    # A query that visited one cell has its answer; those of several cells are merged, at most k pairs from each.
-    several = found.where(F.col("n_cells") > 1).groupBy("index_name", "node_id").agg(F.flatten(F.collect_list("near")).alias("near"))
-    several = several.select("index_name", "node_id", F.slice(F.array_sort("near"), 1, k).alias("near"))
-    merged = found.where(F.col("n_cells") == 1).select("index_name", "node_id", "near").unionByName(several)
+    found = found.select("index_name", "node_id", pairs.alias("near"))
+    # Queries of several cells have k pairs from each; one aggregation for all, so that no cell is searched twice.
+    merged = found.groupBy("index_name", "node_id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    merged = merged.select("index_name", "node_id", F.slice(F.array_sort("near"), 1, k).alias("near"))
     rows = merged.select("index_name", "node_id", F.posexplode("near").alias("pos", "x"))
     return rows.select("index_name", "node_id", F.col("x.n").alias("neighbour"), (-F.col("x.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
