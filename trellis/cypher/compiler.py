@@ -29,6 +29,7 @@ class Frame:
     scope: Scope
     unit: bool = False
     keys: tuple[str, ...] = ()  # columns of the outer query that a correlated part carries and groups by
+    order: tuple[tuple[str, bool], ...] = ()  # columns the rows were last sorted by, and whether upwards
 
 
 def walk(e: Any) -> Any:
@@ -508,11 +509,17 @@ class Compiler:
         else:
             out, ordering = self.plain(f, items, c, known)
         if c.order:
-            keys = []
+            keys, order, made = [], [], {}
             for e, up in c.order:
                 v = ordering(e)
                 col = canonical(v) if self.odd(v.dt) else v.col
+                if not c.final:  # kept for an ordered COLLECT
+                    order.append((self.name("ord"), up))
+                    made[order[-1][0]] = col
+                    col = ref(order[-1][0])
                 keys.append(col.asc_nulls_last() if up else col.desc_nulls_last())
+            if made:
+                out = replace(out, df=out.df.withColumns(made), order=tuple(order))
             out = replace(out, df=out.df.orderBy(*keys) if not out.keys else out.df)
             if out.keys and (c.skip is not None or c.limit is not None):
                 rank = self.name("rank")
@@ -606,7 +613,7 @@ class Compiler:
         first = [n for n in dict.fromkeys(first) if n not in group]
         calls = list(dict.fromkeys(aggregates_in([i.expr for i in items]) + aggregates_in([e for e, _ in c.order])))
         aggs = {call: self.name("agg") for call in calls}
-        made = {call: self.aggregate_call(call, ex) for call in calls}
+        made = {call: self.aggregate_call(call, ex, f.order) for call in calls}
         exprs = [made[x].col.alias(aggs[x]) for x in calls] + [F.first(ref(n)).alias(n) for n in first]
         grouped = df.groupBy(*(ref(g) for g in group)).agg(*exprs) if group else df.agg(*exprs)
         values: dict[A.Expr, Val] = {x: column(aggs[x], made[x].dt, made[x].ent) for x in calls}
@@ -624,7 +631,7 @@ class Compiler:
         by_expr = {i.expr: scope.vars[i.alias] for i in items if not isinstance(scope.vars[i.alias], (Ent, PathVal))}
         return out, Exprs(Scope(inner.vars | scope.vars), self.params, values | by_expr).ex
 
-    def aggregate_call(self, call: A.Call, ex: Exprs) -> Val:
+    def aggregate_call(self, call: A.Call, ex: Exprs, order: tuple[tuple[str, bool], ...] = ()) -> Val:
         name = call.name.lower()
         if call.star:
             return Val(F.count(F.lit(1)), LONG)
@@ -637,7 +644,8 @@ class Compiler:
             col = canonical(v) if self.odd(v.dt) else v.col
             return Val(F.countDistinct(col) if call.distinct else F.count(col), LONG)
         if name == "collect":
-            got = F.transform(F.collect_list(F.struct(v.col.alias("x"))), lambda s: s.x)
+            got = F.collect_list(F.struct(v.col.alias("x"), *(ref(n).alias(f"o{k}") for k, (n, _) in enumerate(order))))
+            got = F.transform(F.array_sort(got, by_order(order)) if order else got, lambda s: s.x)
             if call.distinct and self.odd(v.dt):
                 raise CypherExecutionError("COLLECT(DISTINCT) takes no maps")
             return Val(F.array_distinct(got) if call.distinct else got, T.ArrayType(v.dt), v.ent)
@@ -684,9 +692,9 @@ class Compiler:
             raise CypherExecutionError("UNWIND takes a list")
         inner = v.dt.elementType  # type: ignore[attr-defined]
         name = self.name("item")
-        col = v.col if family(inner) != "null" else v.col.cast("array<string>")
+        col = v.col if family(inner) != "null" else F.transform(v.col, lambda x: F.lit(None).cast("variant"))
         df = f.df.select("*", F.explode(col).alias(name))
-        return Frame(df, self.with_var(f.scope, c.var, column(name, inner if family(inner) != "null" else STRING, v.ent)), keys=f.keys)
+        return Frame(df, self.with_var(f.scope, c.var, column(name, inner if family(inner) != "null" else VARIANT, v.ent)), keys=f.keys)
 
     def do_callsub(self, c: A.CallSub, f: Frame) -> Frame:
         f = replace(f, scope=f.scope.copy())
@@ -728,6 +736,20 @@ class Compiler:
         raise AttributeError(name)
 
 
+def by_order(order: tuple[tuple[str, bool], ...]) -> Callable[[Column, Column], Column]:
+    """Compares two structs by their fields o0, o1, ..; nulls last."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for k in reversed(range(len(order))):
+            x, y = a.getField(f"o{k}"), b.getField(f"o{k}")
+            less, more = (-1, 1) if order[k][1] else (1, -1)
+            out = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), 1).when(y.isNull(), -1).when(x < y, less).when(x > y, more).otherwise(out)
+        return out
+
+    return compare
+
+
 def column(name: str, dt: T.DataType, ent: str | None = None, reverse: bool = False) -> Val:
     v = Val(F.reverse(ref(name)) if reverse else ref(name), dt, ent)
     v.column = name  # type: ignore[attr-defined]

@@ -169,7 +169,8 @@ class Exprs:
                 t, d = (a, b) if a.ent == "time" else (b, a)
                 seconds = scalar.time_seconds(t.col) + (1 if op == "+" else -1) * _seconds(d.col)
                 day = F.pmod(seconds, F.lit(86400.0))
-                return Val(F.date_format(F.timestampadd("MICROSECOND", (day * 1_000_000).cast("bigint"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "HH:mm:ss"), STRING, "time")
+                midnight = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+                return Val(F.date_format(midnight + F.make_dt_interval(secs=day.cast("decimal(18,6)")), "HH:mm:ss"), STRING, "time")
             if fa == fb == "duration":
                 return Val(a.col + b.col if op == "+" else a.col - b.col, DURATION)
             if fa in ("date", "zoned", "naive") and fb == "duration":
