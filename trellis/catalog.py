@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -16,19 +17,43 @@ REL = ("id", "src", "dst", "type", "uri")
 ORDINAL = 1 << 40
 
 
-@dataclass(frozen=True)
 class Table:
     """Rows with the system columns and a column p_<name> for each property.
 
     labels: of a node table whose rows all have them, or the one type of a relationship table; else empty.
     ends: labels of the tables a relationship table's ends lie in, where declared.
+    load: makes the rows and property types when they are first asked for, so a query opens only the tables it uses.
     """
 
-    kind: str
-    df: DataFrame
-    props: dict[str, T.DataType]
-    labels: tuple[str, ...] = ()
-    ends: tuple[str | None, str | None] = (None, None)
+    def __init__(
+        self,
+        kind: str,
+        df: DataFrame | None = None,
+        props: dict[str, T.DataType] | None = None,
+        labels: tuple[str, ...] = (),
+        ends: tuple[str | None, str | None] = (None, None),
+        load: Callable[[], tuple[DataFrame, dict[str, T.DataType]]] | None = None,
+    ) -> None:
+        self.kind, self.labels, self.ends = kind, labels, ends
+        self._load = load
+        self._held = (df, props or {}) if df is not None else None
+
+    def _content(self) -> tuple[DataFrame, dict[str, T.DataType]]:
+        if self._held is None:
+            assert self._load is not None
+            self._held = self._load()
+        return self._held
+
+    @property
+    def df(self) -> DataFrame:
+        return self._content()[0]
+
+    @property
+    def props(self) -> dict[str, T.DataType]:
+        return self._content()[1]
+
+    def but(self, df: DataFrame, props: dict[str, T.DataType] | None = None, labels: tuple[str, ...] | None = None) -> Table:
+        return Table(self.kind, df, self.props if props is None else props, self.labels if labels is None else labels, self.ends)
 
     def may_have(self, labels: tuple[str, ...]) -> bool:
         if not self.labels:
@@ -58,25 +83,39 @@ def typed(t: T.DataType, c: Column) -> tuple[Column, T.DataType]:
     return c, t
 
 
-def node_table(label: str, df: DataFrame, key: str, ordinal: int, props: list[str] | None = None) -> Table:
+Source = DataFrame | Callable[[], DataFrame]
+
+
+def node_table(label: str, source: Source, key: str, ordinal: int, props: list[str] | None = None) -> Table:
     """A label over a table: global ids are the label's ordinal and the key; properties keep their columns."""
-    names = props or df.columns
-    cols = {n: typed(df.schema[n].dataType, ref(n)) for n in names}
-    out = df.select(
-        (F.lit(ordinal * ORDINAL) + ref(key).cast("bigint")).alias("id"), F.array(F.lit(label)).alias("labels"), F.lit(None).cast("string").alias("uri"), *(c.alias("p_" + n) for n, (c, _) in cols.items())
-    )
-    return Table("node", out, {n: t for n, (_, t) in cols.items()}, (label,))
-
-
-def rel_table(kind: str, df: DataFrame, source: tuple[str, int, str], target: tuple[str, int, str], props: list[str]) -> Table:
-    """A relationship type over a table; source and target give label, ordinal and key column. Ids are a hash of the row."""
-    cols = {n: typed(df.schema[n].dataType, ref(n)) for n in props}
-    src, dst = (F.lit(o * ORDINAL) + ref(k).cast("bigint") for _, o, k in (source, target))
-    out = df.select(
-        F.xxhash64(F.lit(kind), *(ref(c) for c in df.columns)).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("uri"),
-        *(c.alias("p_" + n) for n, (c, _) in cols.items()),
-    )
-    return Table("rel", out, {n: t for n, (_, t) in cols.items()}, (kind,), (source[0], target[0]))
+
+    def load() -> tuple[DataFrame, dict[str, T.DataType]]:
+        df = source() if callable(source) else source
+        types = {f.name: f.dataType for f in df.schema.fields}
+        cols = {n: typed(types[n], ref(n)) for n in props or df.columns}
+        out = df.select(
+            (F.lit(ordinal * ORDINAL) + ref(key).cast("bigint")).alias("id"), F.array(F.lit(label)).alias("labels"), F.lit(None).cast("string").alias("uri"), *(c.alias("p_" + n) for n, (c, _) in cols.items())
+        )
+        return out, {n: t for n, (_, t) in cols.items()}
+
+    return Table("node", labels=(label,), load=load)
+
+
+def rel_table(kind: str, source: Source, start: tuple[str, int, str], end: tuple[str, int, str], props: list[str] | None) -> Table:
+    """A relationship type over a table; start and end give label, ordinal and key column. Ids are a hash of the row."""
+
+    def load() -> tuple[DataFrame, dict[str, T.DataType]]:
+        df = source() if callable(source) else source
+        types = {f.name: f.dataType for f in df.schema.fields}
+        cols = {n: typed(types[n], ref(n)) for n in (props if props is not None else [c for c in types if c not in (start[2], end[2])])}
+        src, dst = (F.lit(o * ORDINAL) + ref(k).cast("bigint") for _, o, k in (start, end))
+        out = df.select(
+            F.xxhash64(F.lit(kind), *(ref(c) for c in types)).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("uri"),
+            *(c.alias("p_" + n) for n, (c, _) in cols.items()),
+        )
+        return out, {n: t for n, (_, t) in cols.items()}
+
+    return Table("rel", labels=(kind,), ends=(start[0], end[0]), load=load)
 
 
 def merged_props(tables: list[Table]) -> dict[str, T.DataType]:

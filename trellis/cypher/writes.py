@@ -185,7 +185,7 @@ def patched(state: catalog.State, kind: str, patch: DataFrame, change: dict[str,
         if labels is not None:
             cols["labels"] = F.when(hit, labels).otherwise(ref("labels"))
         df = joined.withColumns(cols).drop(*patch.columns)
-        tables.append(replace(t, df=df, props=props, labels=() if labels is not None else t.labels))
+        tables.append(t.but(df, props, () if labels is not None else None))
     return state.but(nodes=tuple(tables)) if kind == "node" else state.but(rels=tuple(tables))
 
 
@@ -269,7 +269,7 @@ def do_delete(comp: Compiler, c: A.Delete, f: Frame) -> Frame:
     assert counts is not None
     for e in rels:
         gone = df.select(ref(e.id).alias("gone_id")).distinct()
-        state = state.but(rels=tuple(replace(t, df=t.df.join(gone, t.df["id"] == gone["gone_id"], "left_anti")) for t in state.rels))
+        state = state.but(rels=tuple(t.but(t.df.join(gone, t.df["id"] == gone["gone_id"], "left_anti")) for t in state.rels))
     for e in nodes:
         state = without_nodes(state, df.select(ref(e.id).alias("gone_id")).distinct())
     comp.graph.commit(state)
@@ -279,12 +279,12 @@ def do_delete(comp: Compiler, c: A.Delete, f: Frame) -> Frame:
 
 def without_nodes(state: catalog.State, gone: DataFrame) -> catalog.State:
     """The snapshot without the nodes (gone_id) and their relationships."""
-    nodes = tuple(replace(t, df=t.df.join(gone, t.df["id"] == gone["gone_id"], "left_anti")) for t in state.nodes)
+    nodes = tuple(t.but(t.df.join(gone, t.df["id"] == gone["gone_id"], "left_anti")) for t in state.nodes)
     rels = []
     for t in state.rels:
         df = t.df.join(gone, t.df["src"] == gone["gone_id"], "left_anti")
         again = gone.select(F.col("gone_id").alias("gone_id2"))
-        rels.append(replace(t, df=df.join(again, df["dst"] == again["gone_id2"], "left_anti")))
+        rels.append(t.but(df.join(again, df["dst"] == again["gone_id2"], "left_anti")))
     return state.but(nodes=nodes, rels=tuple(rels))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -35,17 +34,17 @@ class Graph:
         self.embedders: dict[str, Callable] = {}
 
     # tables
-    def register_nodes(self, label: str, df: DataFrame, key: str, props: list[str] | None = None) -> Graph:
-        """A label over a table, its columns typed properties."""
+    def register_nodes(self, label: str, source: catalog.Source, key: str, props: list[str] | None = None) -> Graph:
+        """A label over a table (or a function that gives it when it is first used), its columns typed properties."""
         self.ordinals.setdefault(label, len(self.ordinals) + 1)
-        table = catalog.node_table(label, df, key, self.ordinals[label], props)
+        table = catalog.node_table(label, source, key, self.ordinals[label], props)
         self.state = self.state.but(nodes=(*self.state.nodes, table))
         return self
 
-    def register_relationships(self, kind: str, df: DataFrame, source: tuple[str, str], target: tuple[str, str], props: list[str] | None = None) -> Graph:
-        """A relationship type over a table; source and target are (label, key column)."""
-        ends = [(label, self.ordinals[label], key) for label, key in (source, target)]
-        table = catalog.rel_table(kind, df, ends[0], ends[1], props if props is not None else [])
+    def register_relationships(self, kind: str, source: catalog.Source, start: tuple[str, str], end: tuple[str, str], props: list[str] | None = None) -> Graph:
+        """A relationship type over a table; start and end are (label, key column); all other columns are properties unless named."""
+        ends = [(label, self.ordinals[label], key) for label, key in (start, end)]
+        table = catalog.rel_table(kind, source, ends[0], ends[1], props)
         self.state = self.state.but(rels=(*self.state.rels, table))
         return self
 
@@ -328,7 +327,7 @@ class Graph:
     def delete_relationship(self, rel_id: int) -> bool:
         if self.relationships_frame().where(F.col("id") == rel_id).isEmpty():
             return False
-        self.commit(self.state.but(rels=tuple(replace(t, df=t.df.where(F.col("id") != rel_id)) for t in self.state.rels)))
+        self.commit(self.state.but(rels=tuple(t.but(t.df.where(F.col("id") != rel_id)) for t in self.state.rels)))
         return True
 
     # paths

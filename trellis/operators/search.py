@@ -22,7 +22,8 @@ ACCENTS = _accents()
 
 
 def normal(text: Column) -> Column:
-    return F.lower(F.translate(text, *ACCENTS))
+    """Lower case, without accents; only texts that have some are rewritten."""
+    return F.lower(F.when(F.regexp_like(text, F.lit("[\u00c0-\u024f]")), F.translate(text, *ACCENTS)).otherwise(text))
 
 
 def tokens(text: Column) -> Column:
@@ -69,15 +70,16 @@ class TextQuery:
         return list(dict.fromkeys(t for g in self.groups for t in g))
 
 
-def frequency(words: Column, term: tuple[str, str]) -> Column:
-    kind, text = term
-    if kind == "word":
-        return F.size(F.filter(words, lambda x: x == text))
-    if kind == "prefix":
-        return F.size(F.filter(words, lambda x: x.startswith(text)))
-    joined = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    needle = " " + text.replace(" ", "  ") + " "
-    return (F.length(joined) - F.length(F.replace(joined, F.lit(needle), F.lit("")))) / F.lit(len(needle))
+def frequency(text: Column, term: tuple[str, str]) -> Column:
+    """Occurrences in a normal text: of a word, of words with a prefix, or of a run of words."""
+    kind, words = term
+    body = r"[^\p{L}\p{N}]+".join(words.split(" "))
+    return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}]){body}" + ("" if kind == "prefix" else r"(?![\p{L}\p{N}])")))
+
+
+def length(text: Column) -> Column:
+    """The number of words of a normal text."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
 
 
 def bm25(docs: DataFrame, key: list[str], text: str, query: str, k: int | None = None, positive_idf: bool = True) -> DataFrame:
@@ -89,8 +91,8 @@ def bm25(docs: DataFrame, key: list[str], text: str, query: str, k: int | None =
     """
     q = TextQuery(query)
     terms = q.terms()
-    words = docs.select(*key, tokens(F.coalesce(text, F.lit(""))).alias("_w"))
-    tf = words.select(*key, F.size("_w").alias("_dl"), *(frequency(F.col("_w"), t).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)), *(frequency(F.col("_w"), t).cast("double").alias(f"_no{i}") for i, t in enumerate(q.banned)))
+    words = docs.select(*key, normal(F.coalesce(text, F.lit(""))).alias("_w"))
+    tf = words.select(*key, length(F.col("_w")).alias("_dl"), *(frequency(F.col("_w"), t).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)), *(frequency(F.col("_w"), t).cast("double").alias(f"_no{i}") for i, t in enumerate(q.banned)))
     stats = tf.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_mean"), *(F.sum((F.col(f"_tf{i}") > 0).cast("bigint")).alias(f"_df{i}") for i in range(len(terms))))
     held = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.col(f"_tf{terms.index(t)}") > 0 for t in g)) for g in q.groups), F.lit(False))
     for i in range(len(q.banned)):

@@ -22,16 +22,16 @@ KEYS = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey")
 def trade(spark: SparkSession, d: str) -> Graph:
     """Customers, orders, parts, suppliers, nations and regions as a typed graph."""
     g = Graph(spark)
+    table = lambda name, *columns: lambda: read(spark, d, name).select(*columns or "*")
     for label in ("Region", "Nation", "Customer", "Supplier", "Part", "Order"):
-        table, key = KEYS[label]
-        g.register_nodes(label, read(spark, d, table), key)
-    g.register_relationships("IN_REGION", read(spark, d, "nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
-    g.register_relationships("FROM_NATION", read(spark, d, "customer").select("c_custkey", "c_nationkey"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
-    g.register_relationships("FROM_NATION", read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
-    g.register_relationships("PLACED", read(spark, d, "orders").select("o_custkey", "o_orderkey"), ("Customer", "o_custkey"), ("Order", "o_orderkey"))
-    lines = read(spark, d, "lineitem")
-    g.register_relationships("HOLDS", lines, ("Order", "l_orderkey"), ("Part", "l_partkey"), [c for c in lines.columns if c not in ("l_orderkey", "l_partkey")])
-    g.register_relationships("SUPPLIES", lines.select("l_suppkey", "l_partkey").distinct(), ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
+        name, key = KEYS[label]
+        g.register_nodes(label, table(name), key)
+    g.register_relationships("IN_REGION", table("nation", "n_nationkey", "n_regionkey"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
+    g.register_relationships("FROM_NATION", table("customer", "c_custkey", "c_nationkey"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
+    g.register_relationships("FROM_NATION", table("supplier", "s_suppkey", "s_nationkey"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
+    g.register_relationships("PLACED", table("orders", "o_custkey", "o_orderkey"), ("Customer", "o_custkey"), ("Order", "o_orderkey"))
+    g.register_relationships("HOLDS", table("lineitem"), ("Order", "l_orderkey"), ("Part", "l_partkey"))
+    g.register_relationships("SUPPLIES", lambda: read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
     return g
 
 
