@@ -3,6 +3,7 @@
 import pytest
 
 from trellis.exceptions import ConstraintError, CypherExecutionError, InvalidFilterError, InvalidLabelError, InvalidPropertyError, NodeNotFoundError
+from trellis.functions.embedding import HashingEmbedder
 from trellis.functions.filters import LabelFilter, PropertyFilter, PropertyFilterGroup, SortOrder
 from trellis.graph import Graph
 
@@ -176,3 +177,10 @@ def test_search(spark):
     assert rows(g, "CALL db.vector.search('v', [1.0, 0.1], 2, {labels: ['Employee']}) YIELD node, score MATCH (node)-[:KNOWS]->(m) RETURN node.name, m.name") == [("Bob", "Cid")]
     g.register_reranker("last", lambda q, c: [(x["id"], -x["score"]) for x in c])
     assert [r.node_id for r in g.semantic_search([1, 0.1], 1, "v", reranker="last", candidate_multiplier=3).collect()] == [2]
+    g.register_text_index("notes").add([(1, "the spare pump and the pump house"), (2, "the ferry"), (3, None)])
+    assert [r.doc_id for r in g.text_search_custom("the pump", index="notes").collect()] == [1]
+    g.text_indexes["notes"].remove([1])
+    assert g.text_search_custom("pump", index="notes").count() == 0
+    g.create_vector_index("h", 32, embedder=HashingEmbedder(32))
+    g.embed_nodes("h", ["name"], "Person")
+    assert g.semantic_search("Bob", 1, "h").first().node_id == 2

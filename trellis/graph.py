@@ -15,8 +15,9 @@ from trellis.cypher.compiler import Compiler
 from trellis.cypher.parser import parse, split_statements
 from trellis.cypher.values import ref
 from trellis.exceptions import ConstraintError, InvalidFilterError, InvalidLabelError, InvalidPropertyError, NodeNotFoundError, RelationshipNotFoundError, TrellisError
-from trellis.operators import search, traversal
+from trellis.functions import embedding
 from trellis.functions.filters import LabelFilter, PropertyFilterGroup, SortOrder, condition, order_columns
+from trellis.operators import search, traversal
 from trellis.tables import cut
 
 COMPACT = 24  # tables of single writes before they are put together
@@ -32,6 +33,7 @@ class Graph:
         self.keys: dict[str, str] = {}
         self.rerankers: dict[str, Callable] = {}
         self.embedders: dict[str, Callable] = {}
+        self.text_indexes: dict[str, search.TextIndex] = {}
 
     # tables
     def register_nodes(self, label: str, source: catalog.Source, key: str, props: list[str] | None = None) -> Graph:
@@ -383,7 +385,38 @@ class Graph:
         found = search.bm25(docs, ["entity_type", "entity_id", "label_type"], "content", query, k or self.top_k, positive_idf=False)
         return found.withColumn("score", -F.col("score"))
 
+    def register_text_index(self, name: str, index: search.TextIndex | None = None) -> search.TextIndex:
+        """A named index of other documents, for text_search_custom."""
+        self.text_indexes[name] = index or search.TextIndex(self.spark)
+        return self.text_indexes[name]
+
+    def text_search_custom(self, query: str, k: int | None = None, index: str = "default") -> DataFrame:
+        if index not in self.text_indexes:
+            raise TrellisError(f"no text index {index}")
+        return self.text_indexes[index].search(query, k or self.top_k)
+
     # vectors
+    def embed_nodes(self, index: str, props: list[str], *labels: str) -> None:
+        """Vectors of nodes from their properties' text, by the index's embedding function."""
+        df = self.nodes_frame(*labels)
+        words = F.concat_ws(" ", *(ref("p_" + p).cast("string") for p in props if "p_" + p in df.columns))
+        self.upsert_embeddings(index, df.select(F.col("id").alias("node_id"), embedding.embed(words, self.embedder(index)).alias("vector")))
+
+    def embedder(self, index: str) -> Callable:
+        given = self.vector_index(index)["embedder"]
+        f = given if callable(given) else self.embedders.get(str(given))
+        if f is None:
+            raise TrellisError(f"vector index {index} has no embedding function")
+        return f
+
+    def save_vector_index(self, name: str, folder: str) -> None:
+        if self.vector_index(name)["df"] is not None:
+            self.vector_index(name)["df"].write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    def load_vector_index(self, name: str, folder: str) -> None:
+        self.vector_index(name)
+        self.state = self.state.but(vectors=self.state.vectors | {name: self.state.vectors[name] | {"df": self.spark.read.parquet(f"{folder}/{name}")}})
+
     def create_vector_index(self, name: str, dim: int, metric: str = "cosine", default_k: int | None = None, embedder: Callable | str | None = None, if_not_exists: bool = False) -> None:
         if name in self.state.vectors:
             if if_not_exists:
@@ -436,10 +469,7 @@ class Graph:
         entry = self.vector_index(index)
         k = k or entry["default_k"] or self.top_k
         if isinstance(query, str):
-            f = entry["embedder"] if callable(entry["embedder"]) else self.embedders.get(str(entry["embedder"]))
-            if f is None:
-                raise TrellisError(f"vector index {index} has no embedding function")
-            query = f([query])[0]
+            query = self.embedder(index)([query])[0]
         if len(query) != entry["dim"]:
             raise TrellisError(f"vectors of {index} have {entry['dim']} dimensions")
         vectors = entry["df"]

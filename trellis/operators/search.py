@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -82,7 +82,7 @@ def length(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
 
 
-def bm25(docs: DataFrame, key: list[str], text: str, query: str, k: int | None = None, positive_idf: bool = True) -> DataFrame:
+def bm25(docs: DataFrame, key: list[str], text: str, query: str, k: int | None = None, positive_idf: bool = True, stop: frozenset[str] = frozenset()) -> DataFrame:
     """The key columns and score of the documents that satisfy the query, best (greatest) first.
 
     One pass gives every document's term frequencies and length; one aggregate row of document frequencies and
@@ -90,6 +90,7 @@ def bm25(docs: DataFrame, key: list[str], text: str, query: str, k: int | None =
     takes log(1 + x); otherwise log(x), at least 1e-6.
     """
     q = TextQuery(query)
+    q.groups = [g for g in ([t for t in g if t[0] != "word" or t[1] not in stop] for g in q.groups) if g]
     terms = q.terms()
     words = docs.select(*key, normal(F.coalesce(text, F.lit(""))).alias("_w"))
     tf = words.select(*key, length(F.col("_w")).alias("_dl"), *(frequency(F.col("_w"), t).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)), *(frequency(F.col("_w"), t).cast("double").alias(f"_no{i}") for i, t in enumerate(q.banned)))
@@ -110,6 +111,30 @@ def bm25(docs: DataFrame, key: list[str], text: str, query: str, k: int | None =
     return out if k is None else out.limit(k)
 
 
+class TextIndex:
+    """A text index of its own documents (doc_id, text) beside the graph's; the greater the score, the better.
+
+    Common English words of a query are left out. Adding a document again replaces it, removing it is an anti-join.
+    """
+
+    def __init__(self, spark: SparkSession, stop: frozenset[str] | None = None) -> None:
+        from pyspark.ml.feature import StopWordsRemover
+
+        self.spark = spark
+        self.stop = frozenset(StopWordsRemover.loadDefaultStopWords("english")) if stop is None else stop
+        self.docs = spark.createDataFrame([], "doc_id bigint, text string")
+
+    def add(self, docs: DataFrame | list[tuple[int, str]]) -> None:
+        new = self.spark.createDataFrame(docs, "doc_id bigint, text string") if isinstance(docs, list) else docs.select("doc_id", "text")
+        self.docs = self.docs.join(new, "doc_id", "left_anti").unionByName(new)
+
+    def remove(self, ids: list[int]) -> None:
+        self.docs = self.docs.where(~F.col("doc_id").isin(*ids))
+
+    def search(self, query: str, k: int = 10) -> DataFrame:
+        return bm25(self.docs, ["doc_id"], "text", query, k, stop=self.stop)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

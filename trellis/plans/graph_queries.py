@@ -14,7 +14,7 @@ from trellis.operators import search, traversal
 from trellis.plans.problems import Query
 from trellis.sources import export
 from trellis.streaming import windows
-from trellis.tables import read
+from trellis.tables import read, spread
 
 KEYS = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey"), "Event": ("events", "event_id"), "Document": ("documents", "doc_id"), "Vec": ("embeddings", "vec_id")}
 
@@ -323,7 +323,7 @@ def find_all_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """The documents with both words, best first by BM25."""
-    return search.bm25(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", "harbour auditor", 20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(spread(read(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text", "harbour auditor", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def text_search_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +354,7 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal-rank fusion of two text rankings."""
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     frames = [search.bm25(docs, ["doc_id"], "text", q, 50) for q in ("harbour team", "spare pump")]
     return search.reciprocal_ranks(frames, "doc_id", 20).select("doc_id", F.round("score", 8).alias("score"))
 

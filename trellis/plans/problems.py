@@ -131,7 +131,39 @@ found AS (
   WHERE p.start IS NOT NULL AND (b.at IS NULL OR b.at > p.loaded_at))
 """
 
+_FIELD = r"(\"(?:[^\"]|\"\")*\"|[^\",]*)"
+_CSV = ",".join([_FIELD] * 7)
+_VALUE = """CASE WHEN starts_with(f['{0}'], '"') THEN replace(f['{0}'][2:-2], '""', '"') ELSE f['{0}'] END"""
+_WORD = r"[^\s\p{Z}]"  # something that isn't blank
+_FOUND2 = f"""
+WITH csv AS (
+  SELECT line_id, regexp_full_match(line, '{_CSV}', 's') AS ok, regexp_extract(line, '^{_CSV}$', ['type', 'id', 'labels', 'name', 'a', 'b', 'c'], 's') AS f FROM people_raw WHERE format = 'csv'),
+csv_values AS (SELECT line_id, ok, {", ".join(f"{_VALUE.format(c)} AS v_{c}" for c in ("type", "id", "labels", "name", "a", "b"))} FROM csv),
+csv_good AS (
+  SELECT line_id FROM csv_values WHERE ok AND (
+    (v_type = 'node' AND regexp_matches(v_id, '{_WORD}') AND regexp_matches(v_name, '{_WORD}') AND len(list_filter(string_split(v_labels, ';'), lambda x: NOT regexp_matches(x, '{_WORD}'))) = 0)
+    OR (v_type = 'relationship' AND regexp_matches(v_a, '{_WORD}') AND regexp_matches(v_b, '{_WORD}')))),
+js AS (SELECT line_id, CAST(line AS JSON) AS j FROM people_raw WHERE format = 'jsonl' AND json_valid(line)),
+js_good AS (
+  SELECT line_id FROM js WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.type') = 'VARCHAR' AND (
+    (j ->> '$.type' = 'node' AND json_type(j, '$.id') = 'VARCHAR' AND regexp_matches(j ->> '$.id', '{_WORD}')
+     AND json_type(j, '$.properties.name') = 'VARCHAR' AND regexp_matches(j ->> '$.properties.name', '{_WORD}')
+     AND json_type(j, '$.labels') = 'ARRAY' AND json_array_length(j, '$.labels') > 0
+     AND len(list_filter(CAST(j -> '$.labels' AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') <> 'VARCHAR' OR NOT regexp_matches(x ->> '$', '{_WORD}'))) = 0)
+    OR (j ->> '$.type' = 'relationship' AND json_type(j, '$.start') = 'VARCHAR' AND json_type(j, '$.end') = 'VARCHAR'
+     AND regexp_matches(j ->> '$.start', '{_WORD}') AND regexp_matches(j ->> '$.end', '{_WORD}'))))
+SELECT line_id FROM people_raw WHERE line_id NOT IN (SELECT line_id FROM csv_good UNION ALL SELECT line_id FROM js_good)
+"""
+_TREE = """SELECT DISTINCT '{0}' AS owner_table, s.id AS owner_id, replace(substr(t.fullkey, 2), '"', '') AS p
+  FROM (SELECT DISTINCT id, properties FROM {0} WHERE id IS NOT NULL AND json_valid(properties)) AS s, json_tree(s.properties) AS t WHERE t.type = 'OBJECT' AND t.fullkey <> '$'"""
+_FOUND4 = f"""
+WITH tree AS ({_TREE.format("nodes")} UNION ALL {_TREE.format("relationships")})
+SELECT owner_table, owner_id, ltrim(p, '.') AS path, regexp_replace(ltrim(p, '.'), '\\.?[^.\\[\\]]*(\\[\\d+\\])*$', '') AS parent_path FROM tree
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _FOUND2,
+    "p4_found": _FOUND4,
     "p5_found": """SELECT source_node_id, type FROM (SELECT source_node_id, type, count(DISTINCT id) AS n FROM relationships
         WHERE source_node_id IS NOT NULL AND type IS NOT NULL GROUP BY source_node_id, type)
         WHERE n * 100 >= (SELECT count(DISTINCT id) FROM relationships)""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
@@ -171,21 +171,41 @@ def _labelled(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return nodes.select("id", F.regexp_replace(title, '["\\[\\]{}|]', " ").alias("title"), "labels"), graph.relationships_frame().select("src", "dst", "type")
 
 
+def _mermaid(ns: list, rs: list) -> str:
+    return "\n".join(["graph LR", *(f'  n{n.id}["{n.title}"]' for n in ns), *(f"  n{r.src} -->|{r.type}| n{r.dst}" for r in rs)])
+
+
+def _dot(ns: list, rs: list) -> str:
+    return "\n".join(["digraph G {", *(f'  n{n.id} [label="{n.title}"];' for n in ns), *(f'  n{r.src} -> n{r.dst} [label="{r.type}"];' for r in rs), "}"])
+
+
+def _d2(ns: list, rs: list) -> str:
+    return "\n".join([*(f"n{n.id}: {json.dumps(n.title)}" for n in ns), *(f"n{r.src} -> n{r.dst}: {r.type}" for r in rs)])
+
+
+def _d3(ns: list, rs: list) -> str:
+    return json.dumps({"nodes": [{"id": n.id, "name": n.title, "labels": n.labels} for n in ns], "links": [{"source": r.src, "target": r.dst, "type": r.type} for r in rs]})
+
+
+def _cytoscape(ns: list, rs: list) -> str:
+    edges = [{"data": {"source": str(r.src), "target": str(r.dst), "label": r.type}} for r in rs]
+    return json.dumps({"elements": {"nodes": [{"data": {"id": str(n.id), "label": n.title}} for n in ns], "edges": edges}})
+
+
+DIAGRAMS: dict[str, Callable[[list, list], str]] = {"mermaid": _mermaid, "dot": _dot, "d2": _d2, "d3": _d3, "cytoscape": _cytoscape}
+
+
+def register_diagram(kind: str, f: Callable[[list, list], str]) -> None:
+    """f gets rows of (id, title, labels) and of (src, dst, type)."""
+    DIAGRAMS[kind] = f
+
+
 def diagram(graph: Graph, kind: str) -> str:
-    """Text of a mermaid, dot or d2 diagram, or JSON for d3 or cytoscape: for graphs that a person can look at."""
+    """Text of a diagram: for graphs that a person can look at, as all of it comes to the driver."""
+    if kind not in DIAGRAMS:
+        raise TrellisError(f"unknown diagram {kind}; there are {sorted(DIAGRAMS)}")
     nodes, rels = _labelled(graph)
-    ns, rs = nodes.orderBy("id").collect(), rels.orderBy("src", "dst", "type").collect()
-    if kind == "mermaid":
-        return "\n".join(["graph LR", *(f'  n{n.id}["{n.title}"]' for n in ns), *(f"  n{r.src} -->|{r.type}| n{r.dst}" for r in rs)])
-    if kind == "dot":
-        return "\n".join(["digraph G {", *(f'  n{n.id} [label="{n.title}"];' for n in ns), *(f'  n{r.src} -> n{r.dst} [label="{r.type}"];' for r in rs), "}"])
-    if kind == "d2":
-        return "\n".join([*(f"n{n.id}: {json.dumps(n.title)}" for n in ns), *(f"n{r.src} -> n{r.dst}: {r.type}" for r in rs)])
-    if kind == "d3":
-        return json.dumps({"nodes": [{"id": n.id, "name": n.title, "labels": n.labels} for n in ns], "links": [{"source": r.src, "target": r.dst, "type": r.type} for r in rs]})
-    if kind == "cytoscape":
-        return json.dumps({"elements": {"nodes": [{"data": {"id": str(n.id), "label": n.title}} for n in ns], "edges": [{"data": {"source": str(r.src), "target": str(r.dst), "label": r.type}} for r in rs]}})
-    raise TrellisError(f"unknown diagram {kind}")
+    return DIAGRAMS[kind](nodes.orderBy("id").collect(), rels.orderBy("src", "dst", "type").collect())
 
 
 def to_networkx(graph: Graph, directed: bool = True) -> Any:
