@@ -39,6 +39,16 @@ def test_held_out_sentences_and_long_words():
     assert np.isfinite(MODEL.word("a" * 3000)).all()
 
 
+def test_many_words_and_a_full_memory(monkeypatch):
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcdefghijklm"]
+    want = sum(MODEL.word(w) for w in words)
+    monkeypatch.setattr(L, "KNOWN_WORDS", 300)
+    for limit in (300, 5000):
+        monkeypatch.setattr(L, "KNOWN_WORDS", limit)
+        fresh = L.Model(MODEL.p)
+        assert fresh.paragraph(words)[0] == int(want.argmax()) and fresh.paragraph(words[:5]) == fresh.paragraph(words[:5])
+
+
 def test_rows(spark):
     en, de = " ".join(SENTENCES["en"]), " ".join(SENTENCES["de"])
     mail = lambda *p: "From: a@x\n\n" + "\n\n".join(p)

@@ -26,10 +26,12 @@ from trellis.llm.mail import own_paragraphs
 from trellis.llm.tokens import TOKENIZERS
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 MIN_WORDS = 15
 UNSURE_WORDS, UNSURE = 3, 0.99
+KNOWN_WORDS = 400_000  # words whose scores a worker remembers
 LONGEST_PIECE = 12
+RARE = 3  # training words of a language seen less often are left out: most are invented names
 FLOOR = 1e-7
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 ADDRESS = re.compile(r"\S+@\S+|https?://\S+")
@@ -54,7 +56,8 @@ class Model:
 
     def __init__(self, probabilities: dict[str, np.ndarray]) -> None:
         self.p = probabilities
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}  # rows of scored words
+        self.scores = np.zeros((1024, len(LANGUAGES)))
         self.none = np.full(len(LANGUAGES), FLOOR)
 
     def __reduce__(self) -> tuple:
@@ -72,28 +75,39 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """Log probability of a word by language, summed over its segmentations."""
-        x = self.known.get(word)
-        if x is None:
-            forward = [np.zeros(len(LANGUAGES)) for _ in range(len(word) + 2)]
-            forward[0] = np.ones(len(LANGUAGES))
-            scale, at = np.zeros(len(LANGUAGES)), 0
-            for i, j, _, p in self.spans(word):
-                if j != at:
-                    if at % 24 == 23:  # a long word: keep the last values in range
-                        top = np.maximum(forward[at], 1e-300)
-                        scale += np.log(top)
-                        for k in range(max(0, at - LONGEST_PIECE), at + 1):
-                            forward[k] = forward[k] / top
-                    at = j
-                forward[j] = forward[j] + forward[i] * p
-            x = self.known[word] = np.log(np.maximum(forward[-1], 1e-300)) + scale
-            if len(self.known) > 500_000:
-                self.known = {word: x}
-        return x
+        forward = [np.zeros(len(LANGUAGES)) for _ in range(len(word) + 2)]
+        forward[0] = np.ones(len(LANGUAGES))
+        scale, at = np.zeros(len(LANGUAGES)), 0
+        for i, j, _, p in self.spans(word):
+            if j != at:
+                if at % 24 == 23:  # a long word: keep the last values in range
+                    top = np.maximum(forward[at], 1e-300)
+                    scale += np.log(top)
+                    for k in range(max(0, at - LONGEST_PIECE), at + 1):
+                        forward[k] = forward[k] / top
+                at = j
+            forward[j] = forward[j] + forward[i] * p
+        return np.log(np.maximum(forward[-1], 1e-300)) + scale
+
+    def row(self, word: str) -> int:
+        k = self.known.get(word)
+        if k is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known = {}
+            k = self.known[word] = len(self.known)
+            if k >= len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[k] = self.word(word)
+        return k
 
     def paragraph(self, words: list[str]) -> tuple[int, float]:
         """The best language and its posterior."""
-        total = sum((self.word(w) for w in words), np.zeros(len(LANGUAGES)))
+        total = np.zeros(len(LANGUAGES))
+        for k in range(0, len(words), KNOWN_WORDS // 2):
+            if len(self.known) > KNOWN_WORDS // 2:  # room for all words of this run
+                self.known = {}
+            rows = [self.row(w) for w in words[k : k + KNOWN_WORDS // 2]]  # may replace the table of scores
+            total += self.scores[rows].sum(axis=0)
         best = int(total.argmax())
         return best, float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -149,7 +163,7 @@ def train(samples: list[tuple[str, list[str]]], pieces: set[str]) -> Model:
         by_language = [Counter() for _ in LANGUAGES]
         for lang, words in texts:
             by_language[lang].update(words)
-        model = _fit(by_language, pieces)
+        model = _fit([Counter({w: n for w, n in c.items() if n >= RARE}) or c for c in by_language], pieces)
         texts = [(model.paragraph(words)[0], words) for _, words in texts]
     return model
 
