@@ -1,7 +1,10 @@
 """The k most similar vectors for every vector, by a hierarchical k-means tree searched best bin first.
 
-The upper level of the tree (cells) is fitted per index on a bounded sample (SAMPLE vectors an index, more only
-as the number of cells asks); every cell fits its own lower level (leaves) on all its vectors. A vector is a
+The upper level of the tree (cells) is fitted per index on a bounded sample (SAMPLE vectors an index, up to
+SAMPLE_MOST as the number of cells asks); every cell fits its own lower level (leaves) on all its vectors. A cell
+that holds far more than CELL vectors is split into blocks, which its queries all visit, so no task gets an
+unbounded group. Exact copies are one member while a block is searched; a query that is one of very many copies
+finds enough of them in its own block and visits no other. A vector is a
 member of its nearest cell and a query there and in every other cell within a margin of it; the margin is
 calibrated on the sample so that its true neighbours' cells are visited. Inside a cell a query takes the
 leaves from its priority queue, nearest centroid first, and goes on to further leaves until the number of
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 
 SAMPLE = 6000
 SAMPLE_PER_CELL = 40
+SAMPLE_MOST = 131_072
 CELL = 16_384
+BLOCK = 2 * CELL
+MANY_COPIES = 30  # in the sample
 LEAF = 192
 RECALL = 0.97
 CALIBRATION = 256
@@ -105,20 +111,25 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
 
 
 class Tree:
-    """Upper level of one index: unit centroids of the cells and the margin within which a query visits further cells."""
+    """Upper level of one index: unit centroids of the cells, the margin within which a query visits further cells, and the cells' blocks."""
 
-    def __init__(self, sample: np.ndarray, total: int, k: int, cell: int = CELL) -> None:
-        cells = max(1, round(total / cell))
+    def __init__(self, sample: np.ndarray, total: int, k: int, cell: int = CELL, block: int = BLOCK) -> None:
+        cells = max(1, min(round(total / cell), len(sample) // 8))
         self.centroids = kmeans(sample, cells, 12) if cells > 1 else sample[:1]
+        home = (sample @ self.centroids.T).argmax(axis=1)
+        self.blocks = np.ceil(np.bincount(home, minlength=len(self.centroids)) * (total / len(sample)) / block).astype(np.int64).clip(1)
         self.margin = np.float32(0)
         if len(self.centroids) > 1:
             q = sample[:: max(1, len(sample) // 1024)]
-            sims = q @ sample.T
-            near = np.argpartition(-sims, min(k + 1, len(sample) - 1), axis=1)[:, : k + 1]
-            home = (sample @ self.centroids.T).argmax(axis=1)
-            to_cells = q @ self.centroids.T
-            gap = to_cells.max(axis=1)[:, None] - np.take_along_axis(to_cells, home[near], axis=1)
-            self.margin = np.float32(np.quantile(gap, RECALL))
+            gaps = []
+            for part in np.array_split(q, max(1, len(q) * len(sample) // (1 << 24))):
+                near = np.argpartition(-(part @ sample.T), min(k + 1, len(sample) - 1), axis=1)[:, : k + 1]
+                to_cells = part @ self.centroids.T
+                gaps.append(to_cells.max(axis=1)[:, None] - np.take_along_axis(to_cells, home[near], axis=1))
+            self.margin = np.float32(np.quantile(np.concatenate(gaps), RECALL))
+        packed_rows = np.ascontiguousarray(sample).view(f"V{sample.shape[1] * 4}").ravel()
+        own, counts = np.unique(packed_rows, return_counts=True)
+        self.many = {x.tobytes() for x in own[counts >= MANY_COPIES]}
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Home cell of each row, and which cells it visits."""
@@ -126,11 +137,28 @@ class Tree:
         best = sims.max(axis=1)
         return sims.argmax(axis=1), sims >= (best - self.margin)[:, None]
 
+    def places(self, x: np.ndarray, ids: np.ndarray, members: bool) -> list[list[int]]:
+        """Where each row goes, as 2 * (cell << 32 | block) + is_member: a member of one block of its home cell and a query in
+        every block of the cells it visits; or, if members is set, a member of one block in each of these cells."""
+        home, visits = self.route(x)
+        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        out = []
+        for k, (h, v) in enumerate(zip(home.tolist(), visits, strict=True)):
+            cells = np.flatnonzero(v).tolist()
+            mine = {c: int(spread[k] % np.uint64(self.blocks[c])) for c in cells}
+            if members:
+                out.append([2 * (c << 32 | mine[c]) + 1 for c in cells])
+            elif self.many and x[k].tobytes() in self.many:
+                out.append([2 * (h << 32 | mine[h]) + 1])
+            else:
+                out.append([2 * (c << 32 | b) + (c == h and b == mine[c]) for c in cells for b in range(self.blocks[c])])
+        return out
+
 
 def fit_trees(versions: DataFrame, entries: DataFrame, indexes: DataFrame, k: int) -> dict[str, Tree]:
     """One tree an index, fitted on a sample drawn by a hash of the key."""
     totals = {r.index_name: r.n for r in entries.groupBy("index_name").agg(F.count("*").alias("n")).collect() if r.index_name is not None}  # one row an index
-    wanted = {i: max(SAMPLE, SAMPLE_PER_CELL * n // CELL) for i, n in totals.items()}
+    wanted = {i: min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_CELL * n // CELL)) for i, n in totals.items()}
     share = F.lit(0.0)
     for i, n in totals.items():
         share = F.when(F.col("index_name") == i, min(1.0, wanted[i] / n)).otherwise(share)
@@ -142,32 +170,60 @@ def fit_trees(versions: DataFrame, entries: DataFrame, indexes: DataFrame, k: in
     return {i: Tree(np.frombuffer(b"".join(sorted(v)), np.float32).reshape(len(v), -1), totals[i], k) for i, v in sorted(rows.items())}
 
 
-def routed(versions: DataFrame, trees: dict[str, Tree]) -> DataFrame:
-    """Adds home and cells (home among them) to every usable vector; an index whose sample was empty has one cell."""
+def routed(versions: DataFrame, trees: dict[str, Tree], members: bool = False) -> DataFrame:
+    """Adds the places of every usable vector; an index whose sample was empty has one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, vec = b.column(0).to_pylist(), b.column(3)
-            home = np.zeros(b.num_rows, np.int32)
-            cells: list[list[int]] = [[0]] * b.num_rows
+            names, vec, ids = b.column(0).to_pylist(), b.column(3), b.column(1).to_numpy()
+            places: list[list[int]] = [[1]] * b.num_rows
             valid = np.asarray(vec.is_valid())
             for i in {n for n in names if n in trees}:
                 rows = np.flatnonzero(valid & np.array([n == i for n in names]))
                 if len(rows):
-                    own, visits = trees[i].route(matrix(vec.take(pa.array(rows))))
-                    home[rows] = own
-                    for r, v in zip(rows.tolist(), visits, strict=True):
-                        cells[r] = np.flatnonzero(v).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "home", "cells"])
+                    for r, v in zip(rows.tolist(), trees[i].places(matrix(vec.take(pa.array(rows))), ids[rows], members), strict=True):
+                        places[r] = v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, pa.list_(pa.int64()))], [*b.schema.names, "places"])
 
-    return versions.mapInArrow(run, VECTOR + ", home int, cells array<int>")
+    return versions.mapInArrow(run, VECTOR + ", places array<bigint>")
 
 
-def search(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, leaf: int = LEAF, recall: float = RECALL, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def search(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, leaf: int = LEAF, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
     """Positions and similarities of the k best members of each query, best first (-1 where there are fewer).
 
-    own: the query's own position among the members, or -1.
+    own: the query's own position among the members, or -1. Exact copies among the members are searched as one.
     """
+    if len(members) < 2 or not len(queries):
+        return search_distinct(members, queries, own, k, leaf, recall)
+    rows = np.ascontiguousarray(members).view(f"V{members.shape[1] * 4}").ravel()
+    _, first, group = np.unique(rows, return_index=True, return_inverse=True)
+    if len(first) == len(members):
+        return search_distinct(members, queries, own, k, leaf, recall)
+    found, sims = search_distinct(members[first], queries, np.full(len(queries), -1), k + 1, leaf, recall)
+    by_group = np.argsort(group, kind="stable")
+    size = np.bincount(group)
+    starts = np.r_[0, np.cumsum(size)[:-1]]
+    held = found >= 0
+    q, r = np.nonzero(held)
+    g = found[held]
+    take = np.minimum(size[g], k + 1)  # of a group of copies the first ones will do
+    q, s = np.repeat(q, take), np.repeat(sims[held], take)
+    nth = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+    m = by_group[np.repeat(starts[g], take) + nth]
+    keep = m != own[q]
+    q, m, s = q[keep], m[keep], s[keep]
+    rank = np.lexsort((m, -s, q))
+    q, m, s = q[rank], m[rank], s[rank]
+    heads = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1] if len(q) else np.zeros(0, np.int64)
+    nth = np.arange(len(q)) - np.repeat(heads, np.diff(np.r_[heads, len(q)]))
+    ok = nth < k
+    best, score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2, np.float32)
+    best[q[ok], nth[ok]], score[q[ok], nth[ok]] = m[ok], s[ok]
+    return best, score
+
+
+def search_distinct(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, leaf: int = LEAF, recall: float = RECALL, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """search() without regard to copies: best bin first."""
     n, nq = len(members), len(queries)
     best = np.full((nq, k), -1, np.int64)
     score = np.full((nq, k), -2, np.float32)
@@ -222,10 +278,10 @@ def search(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, le
     return best, score
 
 
-def by_cell(vectors: DataFrame, extra: bool = True) -> DataFrame:
-    """One row per vector and visited cell, `is_home` in its own."""
-    cells = F.explode("cells") if extra else F.col("home")
-    return vectors.select("index_name", cells.alias("cell"), "node_id", "vec", "home").withColumn("is_home", F.col("cell") == F.col("home"))
+def by_cell(vectors: DataFrame) -> DataFrame:
+    """One row per vector and place: `cell` (with the block) and whether it is a member there."""
+    placed = vectors.select("index_name", "node_id", "vec", F.explode("places").alias("place"))
+    return placed.select("index_name", F.shiftright("place", 1).alias("cell"), "node_id", "vec", ((F.col("place") % 2) == 1).alias("is_home"))
 
 
 def _neighbours(k: int) -> Callable[[pa.Table], pa.Table]:
@@ -261,10 +317,10 @@ def nearest(entries: DataFrame, indexes: DataFrame, k: int = 10) -> DataFrame:
     return rows.select("index_name", "node_id", F.col("x.n").alias("neighbour"), (-F.col("x.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
-def current_routed(versions: DataFrame, trees: dict[str, Tree]) -> DataFrame:
+def current_routed(versions: DataFrame, trees: dict[str, Tree], members: bool = False) -> DataFrame:
     """Routing comes before the one shuffle by key, so vectors pass through Python once."""
     latest = Window.partitionBy("index_name", "node_id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("vec"))
-    return routed(versions, trees).withColumn("_n", F.row_number().over(latest)).where((F.col("_n") == 1) & F.col("vec").isNotNull()).drop("_n", "updated_at")
+    return routed(versions, trees, members).withColumn("_n", F.row_number().over(latest)).where((F.col("_n") == 1) & F.col("vec").isNotNull()).drop("_n", "updated_at")
 
 
 def similar_pairs(neighbours: DataFrame, least: float = 0.95) -> DataFrame:
