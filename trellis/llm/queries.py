@@ -72,4 +72,15 @@ QUERIES: dict[str, Query] = {
     "p9_found": p9_found,
     "p9_segments": p9_segments,
 }
-SQL: dict[str, str] = {}
+# All pairs, exactly: for the small tables on which the SQL is run.
+SQL: dict[str, str] = {
+    "p1_found": """
+WITH latest AS (SELECT index_name, node_id, max(updated_at) AS at FROM vector_entries GROUP BY ALL),
+v AS (
+  SELECT DISTINCT e.index_name AS i, e.node_id AS n, CAST(e.vector AS DOUBLE[]) AS x FROM vector_entries e
+  JOIN latest l ON l.index_name = e.index_name AND l.node_id = e.node_id AND l.at = e.updated_at JOIN vector_indexes d ON d.name = e.index_name
+  WHERE len(e.vector) = d.dim AND len(list_filter(e.vector, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(e.vector, lambda y: y <> 0)) > 0),
+s AS (SELECT a.i, a.n AS a, b.n AS b, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.i = b.i AND a.n <> b.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY i, a ORDER BY c DESC, b) AS k FROM s QUALIFY k <= 10)
+SELECT DISTINCT i AS index_name, least(a, b) AS node_a, greatest(a, b) AS node_b FROM r WHERE c >= 0.95""",
+}
