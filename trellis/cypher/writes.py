@@ -105,7 +105,7 @@ def create(comp: Compiler, patterns: list[A.PathPat], f: Frame) -> Frame:
     for k in new_nodes:
         tables_n.append(as_table(df, ents[k]))
     tables_r = [as_table(df, r) for r in rels]
-    comp.graph.commit(
+    comp.graph.apply(
         state.but(
             nodes=(*state.nodes, *tables_n), rels=(*state.rels, *tables_r), next_node=state.next_node + total * len(new_nodes), next_rel=state.next_rel + total * len(chain)
         )
@@ -219,7 +219,7 @@ def assign(comp: Compiler, f: Frame, var: str, e: Ent, change: dict[str, Val], c
     df = cut(df)
     once = df.where(ref(e.id).isNotNull()).select(ref(e.id).alias("patch_id"), *(ref(n) for n in names.values()))
     once = once.withColumn("order_", F.monotonically_increasing_id()).groupBy("patch_id").agg(*(F.max_by(ref(n), "order_").alias(n) for n in names.values()), F.max("order_").alias("order_")).drop("order_")
-    comp.graph.commit(patched(comp.state, e.kind, cut(once), change, clear=clear))
+    comp.graph.apply(patched(comp.state, e.kind, cut(once), change, clear=clear))
     after = Ent(e.kind, e.prefix, ({} if clear else dict(e.props)) | {k: v.dt for k, v in change.items()}, e.labels)
     df = df.withColumns({e.column(k): F.when(ref(e.id).isNotNull(), ref(names[k])) for k in change}) if change else df
     scope = f.scope.copy()
@@ -236,7 +236,7 @@ def change_labels(comp: Compiler, f: Frame, e: Ent, label: str, add: bool) -> Fr
     df = cut(f.df)
     patch = df.where(ref(e.id).isNotNull()).select(ref(e.id).alias("patch_id")).distinct()
     new = F.array_sort(F.array_union("labels", F.array(F.lit(label)))) if add else F.filter("labels", lambda x: F.lower(x) != label.lower())
-    comp.graph.commit(patched(comp.state, "node", patch, {}, labels=new))
+    comp.graph.apply(patched(comp.state, "node", patch, {}, labels=new))
     own = ref(e.prefix + "labels")
     df = df.withColumn(e.prefix + "labels", F.array_sort(F.array_union(own, F.array(F.lit(label)))) if add else F.filter(own, lambda x: F.lower(x) != label.lower()))
     return Frame(df, f.scope, keys=f.keys)
@@ -272,7 +272,7 @@ def do_delete(comp: Compiler, c: A.Delete, f: Frame) -> Frame:
         state = state.but(rels=tuple(t.but(t.df.join(gone, t.df["id"] == gone["gone_id"], "left_anti")) for t in state.rels))
     for e in nodes:
         state = without_nodes(state, df.select(ref(e.id).alias("gone_id")).distinct())
-    comp.graph.commit(state)
+    comp.graph.apply(state)
     out = comp.spark.createDataFrame([(sum(counts[: len(nodes)]), sum(counts[len(nodes) :]))], "deleted_nodes bigint, deleted_relationships bigint")
     return Frame(out, Scope({n: column(n, LONG) for n in out.columns}))
 

@@ -87,7 +87,7 @@ class Graph:
             return self.execute_script(f.read())
 
     # snapshots
-    def commit(self, state: State) -> None:
+    def apply(self, state: State) -> None:
         """Checks the constraints and takes the snapshot."""
         for c in state.constraints:
             self.check_constraint(c, state)
@@ -108,7 +108,8 @@ class Graph:
         if self.saved is None:
             self.saved = self.state
 
-    def end_transaction(self) -> None:
+    def commit(self) -> None:
+        """Ends the transaction; what it wrote stays."""
         self.saved = None
 
     def rollback(self) -> None:
@@ -121,7 +122,7 @@ class Graph:
         return self
 
     def __exit__(self, kind: object, *_: object) -> None:
-        self.rollback() if kind is not None else self.end_transaction()
+        self.rollback() if kind is not None else self.commit()
 
     # creation
     def create_nodes(self, records: Iterable[tuple[list[str], dict[str, Any], str | None]]) -> list[int]:
@@ -136,7 +137,7 @@ class Graph:
             rows.append({"id": self.state.next_node + k, "labels": sorted(labels), "uri": uri, "properties": properties})
         if rows:
             table = catalog.records_table("node", rows, self.spark)
-            self.commit(self.state.but(nodes=(*self.state.nodes, table), next_node=self.state.next_node + len(rows)))
+            self.apply(self.state.but(nodes=(*self.state.nodes, table), next_node=self.state.next_node + len(rows)))
         return [r["id"] for r in rows]
 
     def create_node(self, labels: list[str] | None = None, properties: dict[str, Any] | None = None, uri: str | None = None) -> int:
@@ -171,7 +172,7 @@ class Graph:
         lost = ends.join(ids, ends["end_id"] == ids["id"], "left_anti").first()
         if lost is not None:
             raise NodeNotFoundError(f"no node {lost.end_id}")
-        self.commit(self.state.but(rels=(*self.state.rels, table), next_rel=self.state.next_rel + len(rows)))
+        self.apply(self.state.but(rels=(*self.state.rels, table), next_rel=self.state.next_rel + len(rows)))
         return [r["id"] for r in rows]
 
     def create_relationship(self, source: int, target: int, kind: str, properties: dict[str, Any] | None = None, uri: str | None = None) -> int:
@@ -290,7 +291,7 @@ class Graph:
         for k, v in change.items():
             v.col_name = "set_" + k  # type: ignore[attr-defined]
             patch = patch.withColumn("set_" + k, v.col)
-        self.commit(patched(self.state, kind, patch, change, clear=clear))
+        self.apply(patched(self.state, kind, patch, change, clear=clear))
 
     def update_node_properties(self, node_id: int, properties: dict[str, Any]) -> None:
         self._patch("node", node_id, properties, False)
@@ -309,7 +310,7 @@ class Graph:
 
         self.require_node(node_id)
         patch = self.spark.range(1).select(F.lit(node_id).cast("bigint").alias("patch_id"))
-        self.commit(patched(self.state, "node", patch, {}, labels=new))
+        self.apply(patched(self.state, "node", patch, {}, labels=new))
 
     def add_labels(self, node_id: int, labels: list[str]) -> None:
         self._labels(node_id, F.array_sort(F.array_union("labels", F.array(*(F.lit(x) for x in labels)))))
@@ -323,13 +324,13 @@ class Graph:
 
         if self.nodes_frame().where(F.col("id") == node_id).isEmpty():
             return False
-        self.commit(without_nodes(self.state, self.spark.range(1).select(F.lit(node_id).cast("bigint").alias("gone_id"))))
+        self.apply(without_nodes(self.state, self.spark.range(1).select(F.lit(node_id).cast("bigint").alias("gone_id"))))
         return True
 
     def delete_relationship(self, rel_id: int) -> bool:
         if self.relationships_frame().where(F.col("id") == rel_id).isEmpty():
             return False
-        self.commit(self.state.but(rels=tuple(t.but(t.df.where(F.col("id") != rel_id)) for t in self.state.rels)))
+        self.apply(self.state.but(rels=tuple(t.but(t.df.where(F.col("id") != rel_id)) for t in self.state.rels)))
         return True
 
     # paths
@@ -506,6 +507,21 @@ class Graph:
     def list_indexes(self) -> list[Index]:
         return list(self.state.indexes)
 
+    def create_node_index(self, label: str, prop: str, unique: bool = False) -> Index:
+        return self.create_index("node", label, prop, unique)
+
+    def create_relationship_index(self, kind: str, prop: str, unique: bool = False) -> Index:
+        return self.create_index("relationship", kind, prop, unique)
+
+    def create_uniqueness_constraint(self, entity: str, label: str, prop: str) -> Constraint:
+        return self.create_constraint(entity, label, prop, "unique")
+
+    def create_existence_constraint(self, entity: str, label: str, prop: str) -> Constraint:
+        return self.create_constraint(entity, label, prop, "exists")
+
+    def create_type_constraint(self, entity: str, label: str, prop: str, type_: str) -> Constraint:
+        return self.create_constraint(entity, label, prop, "type", type_)
+
     def create_constraint(self, entity: str, label: str, prop: str, kind: str, type_: str | None = None, name: str | None = None) -> Constraint:
         if kind == "type" and type_ not in ("STRING", "INTEGER", "FLOAT", "BOOLEAN", "LIST", "MAP"):
             raise ConstraintError(f"unknown type {type_}")

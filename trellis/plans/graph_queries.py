@@ -369,7 +369,7 @@ def ivf(spark: SparkSession, d: str) -> DataFrame:
 def rdf(spark: SparkSession, d: str) -> DataFrame:
     g = Graph(spark)
     g.register_nodes("Region", read(spark, d, "region"), "r_regionkey").register_nodes("Nation", read(spark, d, "nation"), "n_nationkey", ["n_name"])
-    g.register_relationships("IN_REGION", read(spark, d, "nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
+    g.register_relationships("IN_REGION", read(spark, d, "nation").select("n_nationkey", "n_regionkey"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
     return export.triples(g, "http://x/").groupBy("predicate").agg(F.count("*").alias("n"))
 
 
