@@ -3,7 +3,8 @@
 The upper level of the tree (cells) is fitted per index on a bounded sample (SAMPLE vectors an index, up to
 SAMPLE_MOST as the number of cells asks); every cell fits its own lower level (leaves) on all its vectors. A cell
 that holds far more than CELL vectors is split into blocks, which its queries all visit, so no task gets an
-unbounded group. Exact copies are one member while a block is searched; a query that is one of very many copies
+unbounded group. A tree for clusters is divided instead: an oversized cell gets a tree of its own, so that similar
+vectors stay together. Exact copies are one member while a block is searched; a query that is one of very many copies
 finds enough of them in its own block and visits no other. A vector is a
 member of its nearest cell and a query there and in every other cell within a margin of it; the margin is
 calibrated on the sample so that its true neighbours' cells are visited. Inside a cell a query takes the
@@ -32,6 +33,7 @@ SAMPLE_MOST = 131_072
 CELL = 16_384
 BLOCK = 2 * CELL
 MANY_COPIES = 30  # in the sample
+MOST_VISITS = 1.5  # of a part's vectors, on average, before its margin is given up
 LEAF = 192
 RECALL = 0.97
 CALIBRATION = 256
@@ -111,11 +113,16 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
 
 
 class Tree:
-    """Upper level of one index: unit centroids of the cells, the margin within which a query visits further cells, and the cells' blocks."""
+    """Upper level of one index: unit centroids of the cells, the margin within which a query visits further cells, and the cells' blocks.
 
-    def __init__(self, sample: np.ndarray, total: int, k: int, cell: int = CELL, block: int = BLOCK) -> None:
-        cells = max(1, min(round(total / cell), len(sample) // 8))
-        self.centroids = kmeans(sample, cells, 12) if cells > 1 else sample[:1]
+    If divided is set, copies in the sample count once and an oversized cell gets a tree of its own (parts)."""
+
+    def __init__(self, sample: np.ndarray, total: float, k: int, cell: int = CELL, block: int = BLOCK, divided: bool = False, seed: int = 7, per_cell: int = 8) -> None:
+        if divided:
+            distinct = np.unique(np.ascontiguousarray(sample).view(f"V{sample.shape[1] * 4}").ravel(), return_index=True)[1]
+            sample, total = sample[np.sort(distinct)], total * len(distinct) / len(sample)
+        cells = max(1, min(round(total / cell), len(sample) // per_cell))
+        self.centroids = kmeans(sample, cells, 12, seed) if cells > 1 else sample[:1]
         home = (sample @ self.centroids.T).argmax(axis=1)
         self.blocks = np.ceil(np.bincount(home, minlength=len(self.centroids)) * (total / len(sample)) / block).astype(np.int64).clip(1)
         self.margin = np.float32(0)
@@ -130,6 +137,41 @@ class Tree:
         packed_rows = np.ascontiguousarray(sample).view(f"V{sample.shape[1] * 4}").ravel()
         own, counts = np.unique(packed_rows, return_counts=True)
         self.many = {x.tobytes() for x in own[counts >= MANY_COPIES]}
+        self.parts: dict[int, Tree] = {}
+        if divided:
+            self._divide(sample, total / len(sample), k, block, seed)
+
+    def _divide(self, sample: np.ndarray, share: float, k: int, block: int, seed: int) -> None:
+        """Gives each cell of more than a block's vectors a tree of its own; share is the number of vectors a sampled one stands for."""
+        visits = self.route(sample)[1]
+        for c in np.flatnonzero(visits.sum(axis=0) * share > block).tolist():
+            inside = sample[visits[:, c]]
+            part = Tree(inside, len(inside) * share, k, max(1, block // 2), block, seed=seed, per_cell=2)
+            held = part.route(inside)[1].sum(axis=0)
+            if held.sum() > MOST_VISITS * len(inside) or held.max() == len(inside):  # the margin would undo the split
+                part.margin = np.float32(0)
+                held = part.route(inside)[1].sum(axis=0)
+            if held.max() < len(inside):
+                part._divide(inside, share, k, block, seed)
+                self.parts[c] = part
+
+    def size(self) -> int:
+        """Cells, those of the parts in place of the divided ones."""
+        return len(self.centroids) + sum(p.size() - 1 for p in self.parts.values())
+
+    def leaves(self, x: np.ndarray) -> list[list[int]]:
+        """Numbers of the undivided cells that each row visits."""
+        visits = self.route(x)[1]
+        out: list[list[int]] = [[] for _ in range(len(x))]
+        start = 0
+        for c in range(len(self.centroids)):
+            rows = np.flatnonzero(visits[:, c])
+            part = self.parts.get(c)
+            inner = part.leaves(x[rows]) if part else [[0]] * len(rows)
+            for r, found in zip(rows.tolist(), inner, strict=True):
+                out[r] += [start + n for n in found]
+            start += part.size() if part else 1
+        return out
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Home cell of each row, and which cells it visits."""
@@ -139,35 +181,52 @@ class Tree:
 
     def places(self, x: np.ndarray, ids: np.ndarray, members: bool) -> list[list[int]]:
         """Where each row goes, as 2 * (cell << 32 | block) + is_member: a member of one block of its home cell and a query in
-        every block of the cells it visits; or, if members is set, a member of one block in each of these cells."""
+        every block of the cells it visits; or, if members is set, as 2 * cell + 1: a member of each undivided cell it visits, as a whole."""
+        if members:
+            return [[2 * c + 1 for c in cells] for cells in self.leaves(x)]
         home, visits = self.route(x)
         spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         out = []
         for k, (h, v) in enumerate(zip(home.tolist(), visits, strict=True)):
             cells = np.flatnonzero(v).tolist()
             mine = {c: int(spread[k] % np.uint64(self.blocks[c])) for c in cells}
-            if members:
-                out.append([2 * (c << 32 | mine[c]) + 1 for c in cells])
-            elif self.many and x[k].tobytes() in self.many:
+            if self.many and x[k].tobytes() in self.many:
                 out.append([2 * (h << 32 | mine[h]) + 1])
             else:
                 out.append([2 * (c << 32 | b) + (c == h and b == mine[c]) for c in cells for b in range(self.blocks[c])])
         return out
 
 
-def fit_trees(versions: DataFrame, entries: DataFrame, indexes: DataFrame, k: int) -> dict[str, Tree]:
-    """One tree an index, fitted on a sample drawn by a hash of the key."""
-    totals = {r.index_name: r.n for r in entries.groupBy("index_name").agg(F.count("*").alias("n")).collect() if r.index_name is not None}  # one row an index
-    wanted = {i: min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_CELL * n // CELL)) for i, n in totals.items()}
+def _drawn(df: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """A sample of each index by a hash of the key."""
     share = F.lit(0.0)
     for i, n in totals.items():
-        share = F.when(F.col("index_name") == i, min(1.0, wanted[i] / n)).otherwise(share)
-    drawn = entries.where(F.pmod(F.xxhash64("index_name", "node_id"), F.lit(1 << 20)) < share * (1 << 20))
+        share = F.when(F.col("index_name") == i, min(1.0, min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_CELL * n // CELL)) / n)).otherwise(share)
+    return df.where(F.pmod(F.xxhash64("index_name", "node_id"), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def _totals(df: DataFrame) -> dict[str, int]:
+    return {r.index_name: r.n for r in df.groupBy("index_name").agg(F.count("*").alias("n")).collect() if r.index_name is not None}  # one row an index
+
+
+def _planted(drawn: DataFrame, totals: dict[str, int], k: int, divided: bool, seed: int = 7) -> dict[str, Tree]:
     rows: dict[str, list[bytes]] = {}
-    for r in packed(drawn, indexes).where(F.col("vec").isNotNull()).select("index_name", "vec").toArrow().to_batches():
+    for r in drawn.where(F.col("vec").isNotNull()).select("index_name", "vec").toArrow().to_batches():
         for i, v in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
             rows.setdefault(i, []).append(v)
-    return {i: Tree(np.frombuffer(b"".join(sorted(v)), np.float32).reshape(len(v), -1), totals[i], k) for i, v in sorted(rows.items())}
+    return {i: Tree(np.frombuffer(b"".join(sorted(v)), np.float32).reshape(len(v), -1), totals[i], k, CELL, BLOCK, divided, seed) for i, v in sorted(rows.items())}
+
+
+def fit_trees(versions: DataFrame, entries: DataFrame, indexes: DataFrame, k: int, divided: bool = False) -> dict[str, Tree]:
+    """One tree an index, fitted on a sample drawn by a hash of the key."""
+    totals = _totals(entries)
+    return _planted(packed(_drawn(entries, totals), indexes), totals, k, divided)
+
+
+def fit_packed(vectors: DataFrame, k: int, seed: int) -> dict[str, Tree]:
+    """Divided trees of packed vectors."""
+    totals = _totals(vectors)
+    return _planted(_drawn(vectors, totals), totals, k, True, seed)
 
 
 def routed(versions: DataFrame, trees: dict[str, Tree], members: bool = False) -> DataFrame:
