@@ -117,6 +117,15 @@ def test_skewed_join_keeps_every_row(spark):
     assert got == Counter((r.key, r.x, r.y) for r in left.join(right, "key", "left").collect()) and sum(got.values()) == 401
 
 
+def test_all_branches_see_one_sketch(spark):
+    rels = spark.range(1000).selectExpr("IF(id % 3 = 0, id, 7) AS key", "CAST(id AS STRING) AS t", "id AS x")
+    right = spark.range(0, 1000, 3).selectExpr("id AS key", "id * 2 AS y")
+    for df in (skew.skew_join(rels, right, "key", support=0.1), skew.skew_aggregate(rels, ["key", "t"], {"n": "x"}, support=0.1)):
+        df.collect()
+        assert "collect_frequent_items" not in df._jdf.queryExecution().toString()
+    assert skew.heavy_keys(rels, ["key", "t"], 0.1).dtypes == [("key", "bigint"), ("t", "string")]
+
+
 def at(day):
     return datetime(2024, 1, day)
 

@@ -1,7 +1,8 @@
 """Per-key results and joins where a few keys hold most rows.
 
 Heavy keys are found by a frequent-items sketch of at most 1/support keys that misses no key above that
-share. Rows of heavy keys are spread over salts (the salt is a hash of the counted value, so distinct counts
+share. The sketch depends on the order in which its parts are merged, so it is collected once and all branches
+use the same fixed rows. Rows of heavy keys are spread over salts (the salt is a hash of the counted value, so distinct counts
 add up) or joined by a broadcast of the other side's few rows; all other rows take the ordinary shuffle; the
 two results are disjoint by key and are put together by union.
 
@@ -23,7 +24,8 @@ SALTS = 64
 def heavy_keys(df: DataFrame, keys: list[str], support: float = SUPPORT) -> DataFrame:
     """At most 1/support key rows, among them every key that holds more than that share of the rows."""
     sketch = df.select(F.struct(*keys).alias("k")).stat.freqItems(["k"], support)
-    return sketch.select(F.explode("k_freqItems").alias("k")).select("k.*")
+    found = sketch.select(F.explode("k_freqItems").alias("k")).select("k.*")
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)  # bound: 1/support rows
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> Column:
