@@ -184,3 +184,12 @@ def test_search(spark):
     g.create_vector_index("h", 32, embedder=HashingEmbedder(32))
     g.embed_nodes("h", ["name"], "Person")
     assert g.semantic_search("Bob", 1, "h").first().node_id == 2
+
+
+def test_paths_have_no_depth_limit_of_their_own(spark):
+    g = Graph(spark)
+    ids = g.create_nodes([(["N"], {"k": k}, None) for k in range(8)])
+    g.create_relationships([(a, b, "T", {}, None) for a, b in zip(ids, ids[1:])] + [(ids[1], ids[0], "T", {}, None), (ids[5], ids[7], "T", {}, None)])
+    assert g.find_path(ids[0], ids[6]) == ids[:7] and g.find_path(ids[0], ids[6], 5) is None and g.find_path(ids[7], ids[0]) is None
+    assert sorted(r.path for r in g.find_all_paths(ids[0], ids[7]).collect()) == sorted([ids, [*ids[:6], ids[7]]]) and g.find_all_paths(ids[7], ids[0]).count() == 0
+    assert g.find_all_paths(ids[0], ids[7], 5).count() == 0

@@ -337,10 +337,10 @@ class Graph:
     def find_shortest_path(self, source: int, target: int) -> list[int] | None:
         return traversal.find_shortest_path(self, source, target)
 
-    def find_path(self, source: int, target: int, max_depth: int = 5) -> list[int] | None:
+    def find_path(self, source: int, target: int, max_depth: int | None = None) -> list[int] | None:
         return traversal.find_path(self, source, target, max_depth)
 
-    def find_all_paths(self, source: int, target: int, max_depth: int = 5) -> DataFrame:
+    def find_all_paths(self, source: int, target: int, max_depth: int | None = None) -> DataFrame:
         return traversal.find_all_paths(self, source, target, max_depth)
 
     # full-text search: an index is a list of properties; its content is computed from the snapshot

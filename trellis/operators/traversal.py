@@ -44,13 +44,13 @@ def find_shortest_path(graph: Graph, source: int, target: int, max_depth: int |
     return None
 
 
-def find_path(graph: Graph, source: int, target: int, max_depth: int = 5) -> list[int] | None:
-    """Some simple path of at most max_depth steps: a shortest one."""
+def find_path(graph: Graph, source: int, target: int, max_depth: int | None = None) -> list[int] | None:
+    """Some simple path, of at most max_depth steps if given: a shortest one."""
     return find_shortest_path(graph, source, target, max_depth)
 
 
-def find_all_paths(graph: Graph, source: int, target: int, max_depth: int = 5) -> DataFrame:
-    """A column `path` of all simple paths of at most max_depth steps that stop at the target."""
+def find_all_paths(graph: Graph, source: int, target: int, max_depth: int | None = None) -> DataFrame:
+    """A column `path` of all simple paths, of at most max_depth steps if given, that stop at the target. Ends with the frontier."""
     graph.require_node(source)
     graph.require_node(target)
     links = edges(graph)
@@ -58,7 +58,9 @@ def find_all_paths(graph: Graph, source: int, target: int, max_depth: int = 5) -
     if source == target:
         return now
     found = []
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = now.join(links, F.element_at("path", -1) == links["src"]).where(~F.array_contains("path", F.col("dst")))
         now = cut(step.select(F.concat("path", F.array("dst")).alias("path")))
         found.append(now.where(F.element_at("path", -1) == target))
