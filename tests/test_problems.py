@@ -1,6 +1,7 @@
 """The general data-processing operators against brute force, with nulls, repeats, ties, empty tables and extra columns."""
 
 import json
+import random
 from collections import Counter, defaultdict
 from datetime import datetime
 
@@ -51,6 +52,15 @@ def test_reject_reasons(spark):
     assert rejects.parse_lines(raw(spark, lines).limit(0)).count() == 0
 
 
+def is_json(text):
+    """By Python's parser, without what no UTF-8 text can hold."""
+    try:
+        json.dumps(json.loads(text, parse_constant=lambda _: int("x")), ensure_ascii=False).encode()
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def brute_objects(value, path="", parent=None):
     """(path, parent_path) of nested objects."""
     if isinstance(value, dict):
@@ -82,15 +92,28 @@ def test_nested_objects_match_a_recursive_walk(spark):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(0, TEXTS[0]), (None, TEXTS[0])]
     owned = nested.owners(spark.createDataFrame(rows, "id bigint, properties string"), "nodes")
     got = sorted((r.owner_id, r.path, r.parent_path) for r in nested.child_objects(owned).collect())
-    want = sorted((k, *x) for k, t in enumerate(TEXTS) if t and nested.is_json(t) for x in brute_objects(json.loads(t)))
+    want = sorted((k, *x) for k, t in enumerate(TEXTS) if t and is_json(t) for x in brute_objects(json.loads(t)))
     assert got == want
-    fields = {(r.owner_id, r.path, r.key): r.value for r in nested.scalar_fields(owned).collect()}
-    assert fields[0, "a.b[2][0]", "d"] == '"x,{y}:[z]"' and fields[10, "t", "x"] == "1.5e3" and fields[10, "t", "z"] == '"p, q"' and fields[10, "ä.ö", "s"] == '"\\\\\\""'
+    fields = {(r.owner_id, r.path): (r.parent_path, r.key, r.position, r.kind, r.value) for r in nested.scalar_fields(owned).collect()}
+    assert fields[0, "a.b[2][0].d"] == ("a.b[2][0]", "d", None, "string", "x,{y}:[z]") and fields[0, "a.b[0]"] == ("a", None, 0, "number", "1") and fields[0, "a.b[2][1]"][3:] == ("null", "null")
+    assert fields[10, "t.x"][3:] == ("number", "1.5e3") and fields[10, "t.z"][4] == "p, q" and fields[10, "ä.ö.s"][4] == '\\"' and fields[2, "[1]"] == ("", None, 1, "number", "3")
     assert nested.child_objects(owned.limit(0)).count() == 0
 
 
+def test_strict_json_matches_the_parser_on_altered_texts():
+    r = random.Random(3)
+    texts = [*TEXTS, "[1,]", '{"a":1,}', "1 2", "01", "\\", '"', '{"a" 1}', "[{} {}]", '{"a":"\\ud800"}', '{"\\udc00":{}}', '{"\\ud83d\\ude00":{}}', '{"a":"\x01"}', "[" * 2000 + "]" * 2000, '["\\x"]']
+    for t in [t for t in TEXTS if t and is_json(t)] * 200:
+        for _ in range(r.randrange(1, 3)):
+            p = r.randrange(len(t) + 1)
+            t = t[:p] + r.choice(['{', '}', '[', ']', ',', ':', '"', '\\', '1', 'e', ' ', 'u', '-', '.']) * r.randrange(2) + t[p + r.randrange(2) :]
+        texts.append(t)
+    assert nested.strict(pa.array(texts)).tolist() == [bool(t) and is_json(t) for t in texts]
+    assert nested.strict(pa.array([], pa.string())).tolist() == []
+
+
 def test_nested_block_boundaries():
-    texts = pa.array([t for t in TEXTS if t and nested.is_json(t)] * 3)[1:]
+    texts = pa.array([t for t in TEXTS if t and is_json(t)] * 3)[1:]
     row, path, parent, _, _ = nested.Shape(texts).objects()
     want = sorted((k, *x) for k, t in enumerate(texts.to_pylist()) for x in brute_objects(json.loads(t)))
     assert sorted(zip(row.tolist(), path.to_pylist(), parent.to_pylist())) == want

@@ -3,10 +3,12 @@
 A block of texts is one Arrow buffer. Its structural characters outside strings are found by array
 arithmetic; running sums give each container's depth; per depth, the parent of every container is the last
 opening one level up (a sorted search), array positions are differences of running comma counts, and paths
-are propagated downwards by `take`. No value is visited row by row; the strict JSON check alone reads texts singly.
+are propagated downwards by `take`. No value is visited row by row. Which texts are strict JSON is found in the same
+way: within each container, ordered by depth and place, every token must be allowed after the one before it.
 
-Defined results: null, empty and invalid texts give no rows; a scalar on top gives none; exact copies of an
-owner give each row once; an object inside a top-level array has parent ''; extra columns stay out.
+Defined results: null, empty and invalid texts give no rows, nor do those with half a surrogate pair as an escape
+(no UTF-8 text can hold it) or more than MOST_LEVELS levels, as JSON readers bound their depth; a scalar on top gives none; exact copies of an owner give each row once; an object
+inside a top-level array has parent ''; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -22,19 +24,13 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
 OBJECTS = "owner_table string, owner_id bigint, path string, parent_path string, depth int, position int"
-FIELDS = "owner_table string, owner_id bigint, path string, key string, value string"
-
-
-def _constant(name: str) -> None:
-    raise ValueError(name)
-
-
-def is_json(text: str) -> bool:
-    try:
-        json.loads(text, parse_constant=_constant, parse_int=float)
-    except (ValueError, RecursionError):
-        return False
-    return True
+FIELDS = "owner_table string, owner_id bigint, path string, parent_path string, key string, position int, kind string, value string"
+MOST_LEVELS = 1000
+NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+# Kinds of tokens within a container, and for each what may come before it in an object and in an array.
+OPEN, CLOSE, COMMA, COLON, KEY, VALUE = range(6)
+BEFORE_IN_OBJECT = {CLOSE: (OPEN, VALUE), COMMA: (VALUE,), COLON: (KEY,), KEY: (OPEN, COMMA), VALUE: (COLON,)}
+BEFORE_IN_ARRAY = {CLOSE: (OPEN, VALUE), COMMA: (VALUE,), VALUE: (OPEN, COMMA)}
 
 
 def _slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -133,40 +129,160 @@ class Shape:
         own = np.flatnonzero(self.is_object & (self.level > 1))
         return self.row[own], self.path(own), self.path(self.owner_object[own]), self.level[own] - 1, self.position[own]
 
-    def fields(self) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
-        """Scalar members of objects: row, the object's path, key, JSON text of the value."""
+    def fields(self) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]:
+        """Scalars inside containers: row, path, nearest object's path, key or position, kind, text (strings decoded, others as written)."""
+        # a scalar stands after an opening bracket of an array, a comma of an array or a colon, and goes up to the next structural character
         nxt = np.append(self.at[1:], len(self.buf))
         after = np.append(self.char[1:], 0)
-        own = np.flatnonzero((self.char == 58) & (after != 123) & (after != 91))
-        colon, end = self.at[own], nxt[own]
-        owner = np.full(len(own), -1)
+        inside = np.full(len(self.at), -1)  # innermost container after each structural character
+        for level in np.unique(self.depth[self.depth > 0]):
+            up = np.flatnonzero(self.level == level)
+            here = np.flatnonzero(self.depth == level)
+            inside[here] = up[np.searchsorted(self.open_at[up], self.at[here], side="right") - 1]
+        in_object = self.is_object[np.maximum(inside, 0)] if len(self.open_at) else np.zeros(len(self.at), bool)
+        starts = (self.char == 58) | (((self.char == 91) | (self.char == 44)) & ~in_object & (inside >= 0))
+        own = np.flatnonzero(starts & (after != 123) & (after != 91))
+        text = pc.ascii_trim_whitespace(_slices(self.buf, self.at[own] + 1, nxt[own]))
+        some = pc.not_equal(text, "").to_numpy(zero_copy_only=False)  # an empty array has no scalar
+        own, text = own[some], text.filter(pa.array(some))
+        holder, named = inside[own], self.char[own] == 58
+        position = np.full(len(own), -1)
         depth = self.depth[own]
         for level in np.unique(depth):
-            up = np.flatnonzero(self.level == level)
-            here = np.flatnonzero(depth == level)
-            owner[here] = up[np.searchsorted(self.open_at[up], colon[here]) - 1]
-        names = self._names(colon, np.ones(len(own), bool))
-        values = pc.ascii_trim_whitespace(_slices(self.buf, colon + 1, end))
-        return self.row[owner] if len(own) else owner, self.path(owner), names, values
+            here = np.flatnonzero((depth == level) & ~named)
+            c = self.commas[level - 1]
+            position[here] = np.searchsorted(c, self.at[own[here]], side="right") - np.searchsorted(c, self.open_at[holder[here]])
+        names = self._names(self.at[own], named)
+        path = self._extend(self.path(holder), names, position)
+        objects = np.where(self.is_object[holder], holder, self.owner_object[holder]) if len(own) else holder
+        quoted = pc.starts_with(text, '"')
+        kind = pc.if_else(quoted, "string", pc.if_else(pc.is_in(text, pa.array(["true", "false"])), "boolean", pc.if_else(pc.equal(text, "null"), "null", "number")))
+        value = pc.if_else(quoted, _keys(pc.utf8_slice_codeunits(text, 1, -1)), text)
+        key = pc.if_else(pa.array(named), names, pa.scalar(None, pa.string()))
+        row = self.row[holder] if len(own) else holder
+        return row, path, self.path(objects), key, pa.array(position, pa.int32(), mask=position < 0), kind, value
+
+
+def _escapes(buf: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Positions of the active backslashes that begin no valid escape, half surrogate pairs included."""
+    padded = np.append(buf, np.zeros(6, np.uint8))
+    kind = padded[active + 1]
+    hexed = np.full(256, -1, np.int32)
+    for digits, base in ((b"0123456789", 0), (b"abcdef", 10), (b"ABCDEF", 10)):
+        hexed[list(digits)] = np.arange(base, base + len(digits))
+    digits = hexed[padded[active[:, None] + np.arange(2, 6)]]
+    code = np.where((kind == 117) & (digits >= 0).all(axis=1), digits @ np.array([4096, 256, 16, 1]), -1)
+    bad = ~np.isin(kind, np.frombuffer(b'"\\/bfnrtu', np.uint8)) | ((kind == 117) & (code < 0))
+    high, low = (code >= 0xD800) & (code < 0xDC00), (code >= 0xDC00) & (code < 0xE000)
+    joined = np.zeros(len(active), bool)  # with the next escape
+    joined[:-1] = high[:-1] & low[1:] & (active[1:] == active[:-1] + 6)
+    bad |= high & ~joined
+    bad |= low & ~np.append(False, joined[:-1])
+    return active[bad]
+
+
+def strict(texts: pa.Array, most_levels: int = MOST_LEVELS) -> np.ndarray:
+    """Which texts of a string array are strict JSON, by array arithmetic over the whole buffer; null ones are not."""
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1).astype(np.int64) if n else np.zeros(1, np.int64)
+    good = np.asarray(texts.is_valid()) & (np.diff(offsets) > 0)
+    if not good.any():
+        return good
+    buf = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]]
+    at = np.arange(len(buf))
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    first = offsets[row]
+    slash = buf == 92
+    run = at - np.maximum(np.maximum.accumulate(np.where(slash, -1, at)), first - 1)  # length of the run of backslashes that ends here
+    quote = buf == 34
+    quote[1:] &= ~((run[:-1] & 1).astype(bool) & (row[1:] == row[:-1]))
+    count = np.cumsum(quote)
+    before = np.append(0, count)[offsets[:-1]]  # quotes before each row
+    inside = (((count - before[row]) & 1) == 1) & ~quote
+    good &= ((np.append(0, count)[offsets[1:]] - before) & 1) == 0
+    wrong = inside & (buf < 32)
+    wrong[slash & ~inside] = True
+    good[row[wrong]] = False
+    active = np.flatnonzero(slash & inside & ((run & 1) == 1))
+    if len(active):
+        good[row[_escapes(buf, active)]] = False
+    # tokens: structural characters, opening quotes, and runs of other characters outside strings
+    table = np.zeros(256, np.int8)
+    table[[123, 91]], table[[125, 93]], table[44], table[58], table[[32, 9, 10, 13]] = 1, 2, 3, 4, 5
+    kind = table[buf]
+    outside = ~inside & ~quote
+    starts = quote & (((count - before[row]) & 1) == 1)
+    plain = outside & (kind == 0)
+    head = plain.copy()
+    head[1:] &= ~(plain[:-1] & (row[1:] == row[:-1]))
+    tail = plain.copy()
+    tail[:-1] &= ~(plain[1:] & (row[1:] == row[:-1]))
+    words = _slices(buf, np.flatnonzero(head), np.flatnonzero(tail) + 1)
+    unlike = ~pc.match_substring_regex(words.cast(pa.binary()), f"^(?:true|false|null|{NUMBER})$").to_numpy(zero_copy_only=False)
+    good[row[np.flatnonzero(head)[unlike]]] = False
+    token = starts | head | (outside & (kind > 0) & (kind < 5))
+    where = np.flatnonzero(token & good[row])
+    of, what, own = row[where], np.where(starts[where] | head[where], 0, kind[where]), buf[where]
+    step = (what == 1).astype(np.int64) - (what == 2)
+    depth = np.cumsum(step)
+    depth -= (depth - step)[np.searchsorted(of, of)]  # from 0 in every row
+    level = depth + (what == 2)  # a closing bracket belongs to its own container
+    good[of[(level < 0) | ((what == 2) & (level < 1)) | (level > most_levels)]] = False
+    ends = np.searchsorted(of, np.arange(n), side="right") - 1
+    some = np.isin(np.arange(n), of)
+    good &= some
+    good[some] &= depth[ends[some]] == 0
+    keep = good[of]
+    where, of, what, own, level = where[keep], of[keep], what[keep], own[keep], level[keep]
+    # An opening bracket is a value of the container around it and the first token of its own.
+    opens = np.flatnonzero(what == 1)
+    text = starts[where]
+    place = np.concatenate([np.arange(len(where)) * 2, opens * 2 - 1])
+    levels = np.concatenate([level, level[opens] - 1])
+    kinds = np.concatenate([np.select([what == 1, what == 2, what == 3, what == 4], [OPEN, CLOSE, COMMA, COLON], VALUE), np.full(len(opens), VALUE)])
+    rows, chars, texty = np.concatenate([of, of[opens]]), np.concatenate([own, own[opens]]), np.concatenate([text, np.zeros(len(opens), bool)])
+    order = np.lexsort((place, levels))
+    levels, kinds, rows, chars, texty = levels[order], kinds[order], rows[order], chars[order], texty[order]
+    top = levels == 0
+    good &= np.bincount(rows[top], minlength=n) == 1
+    good[rows[top & (kinds != VALUE)]] = False
+    kinds, rows, chars, texty = kinds[~top], rows[~top], chars[~top], texty[~top]
+    if not len(kinds):
+        return good
+    last = np.maximum.accumulate(np.where(kinds == OPEN, np.arange(len(kinds)), 0))
+    in_object = chars[last] == 123
+    prev = np.append(CLOSE, kinds[:-1])
+    kinds = np.where(in_object & texty & ((prev == OPEN) | (prev == COMMA)), KEY, kinds)
+    prev = np.append(CLOSE, kinds[:-1])
+    allowed = np.zeros((2, 6, 6), bool)
+    for at_object, rules in ((1, BEFORE_IN_OBJECT), (0, BEFORE_IN_ARRAY)):
+        for k, fine in rules.items():
+            allowed[at_object, k, list(fine)] = True
+    allowed[:, OPEN, CLOSE] = True
+    fits = allowed[in_object.astype(int), kinds, prev]
+    fits &= ~((kinds == CLOSE) & ((chars == 125) != in_object))
+    good[rows[~fits]] = False
+    return good
+
 
+def _strings(x: pa.Array) -> pa.Array:
+    return x.cast(pa.string()) if x.type != pa.string() else x
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for b in batches:
         n = max(1, min(b.num_rows, BLOCK_BYTES * b.num_rows // max(1, b.column(2).nbytes)))
         for k in range(0, b.num_rows, n):
             part = b.slice(k, n)
-            good = np.fromiter((is_json(x) for x in part.column(2).to_pylist()), bool, part.num_rows)
-            if good.any():
-                yield part.filter(pa.array(good))
-
-
-def _strings(x: pa.Array) -> pa.Array:
-    return x.cast(pa.string()) if x.type != pa.string() else x
+            texts = _strings(part.column(2))
+            good = pa.array(strict(texts))
+            yield part.filter(good), texts.filter(good)
 
 
 def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _blocks(batches):
-        row, path, parent, depth, position = Shape(_strings(b.column(2))).objects()
+    for b, texts in _blocks(batches):
+        row, path, parent, depth, position = Shape(texts).objects()
         at = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [b.column(0).take(at), b.column(1).take(at), path, parent, pa.array(depth, pa.int32()), pa.array(position, pa.int32(), mask=position < 0)],
@@ -175,10 +291,10 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _blocks(batches):
-        row, path, names, values = Shape(_strings(b.column(2))).fields()
+    for b, texts in _blocks(batches):
+        row, *columns = Shape(texts).fields()
         at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), path, names, values], ["owner_table", "owner_id", "path", "key", "value"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *columns], ["owner_table", "owner_id", "path", "parent_path", "key", "position", "kind", "value"])
 
 
 def owners(table: DataFrame, name: str, key: str = "id", column: str = "properties") -> DataFrame:
@@ -192,5 +308,5 @@ def child_objects(owned: DataFrame) -> DataFrame:
 
 
 def scalar_fields(owned: DataFrame) -> DataFrame:
-    """One row per scalar member of any object: the flat child tables in long form, joined to child_objects by owner and path."""
-    return owned.where(F.col("properties").contains(":")).mapInArrow(_fields, FIELDS).distinct()
+    """One row per scalar in any object or array: the flat child tables in long form, joined to child_objects by owner and parent_path."""
+    return owned.where(F.col("properties").rlike(r"[\[{]")).mapInArrow(_fields, FIELDS).distinct()

@@ -40,7 +40,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_fields(spark: SparkSession, d: str) -> DataFrame:
-    return nested.scalar_fields(_owned(spark, d))
+    """Every scalar with its object and path; numbers as double, other values as text."""
+    number = F.col("kind") == "number"
+    fields = nested.scalar_fields(_owned(spark, d)).withColumn("number", F.when(number, F.col("value").cast("double")))
+    return fields.withColumn("value", F.when(~number, F.col("value"))).distinct()
 
 
 def _relationships(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +164,18 @@ WITH tree AS ({_TREE.format("nodes")} UNION ALL {_TREE.format("relationships")})
 SELECT owner_table, owner_id, ltrim(p, '.') AS path, regexp_replace(ltrim(p, '.'), '\\.?[^.\\[\\]]*(\\[\\d+\\])*$', '') AS parent_path FROM tree
 """
 
+_SCALARS = """SELECT DISTINCT '{0}' AS owner_table, s.id AS owner_id, ltrim(replace(substr(t.fullkey, 2), '"', ''), '.') AS path, t.type, t.atom ->> '$' AS value
+  FROM (SELECT DISTINCT id, properties FROM {0} WHERE id IS NOT NULL AND json_valid(properties)) AS s, json_tree(s.properties) AS t WHERE t.type NOT IN ('OBJECT', 'ARRAY') AND t.fullkey <> '$'"""
+_FIELDS4 = f"""
+WITH scalars AS ({_SCALARS.format("nodes")} UNION ALL {_SCALARS.format("relationships")})
+SELECT owner_table, owner_id, path, regexp_replace(path, '\\.?[^.\\[\\]]*(\\[\\d+\\])*$', '') AS parent_path,
+  CASE WHEN path NOT LIKE '%]' THEN regexp_extract(path, '[^.]*$') END AS key, TRY_CAST(regexp_extract(path, '\\[(\\d+)\\]$', 1) AS INTEGER) AS position,
+  CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+  CASE WHEN type IN ('VARCHAR', 'BOOLEAN', 'NULL') THEN coalesce(value, 'null') END AS value, CASE WHEN type NOT IN ('VARCHAR', 'BOOLEAN', 'NULL') THEN CAST(value AS DOUBLE) END AS number FROM scalars
+"""
+
 SQL: dict[str, str] = {
+    "p4_fields": _FIELDS4,
     "p2_found": _FOUND2,
     "p4_found": _FOUND4,
     "p5_found": """SELECT source_node_id, type FROM (SELECT source_node_id, type, count(DISTINCT id) AS n FROM relationships
