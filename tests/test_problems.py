@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime
 
@@ -52,6 +53,48 @@ def test_reject_reasons(spark):
     assert rejects.parse_lines(raw(spark, lines).limit(0)).count() == 0
 
 
+CSV_LINE = re.compile(r'("(?:[^"]|"")*"|[^",]*)' + r',("(?:[^"]|"")*"|[^",]*)' * 6, re.S)
+
+
+def is_record(kind, line):
+    """The definition of a valid record, line by line."""
+    if kind == "csv":
+        if not (m := CSV_LINE.fullmatch(line)):
+            return False
+        values = [x[1:-1].replace('""', '"') if x[:1] == '"' else x for x in m.groups()]
+        r = dict(zip(("type", "id", "labels", "name", "start", "end"), values))
+        r["labels"] = r["labels"].split(";")
+    else:
+        if not is_json(line) or not isinstance(r := json.loads(line), dict):
+            return False
+        r["name"] = r["properties"].get("name") if isinstance(r.get("properties"), dict) else None
+    blank = lambda x: not isinstance(x, str) or not x.strip()
+    if r.get("type") == "node":
+        return not (blank(r.get("id")) or not isinstance(r.get("labels"), list) or not r["labels"] or any(map(blank, r["labels"])) or blank(r["name"]))
+    return r.get("type") == "relationship" and not blank(r.get("start")) and not blank(r.get("end"))
+
+
+def test_rejects_match_the_definition_on_altered_lines(spark):
+    r = random.Random(5)
+    csv = ['node,a,Person;X,"B, ""c""",,,', "node,b,Person,ok,,,", 'relationship,,,,"a","b",KNOWS', 'node,"ä",P,"x;y",,,L', 'node,a,P,"",,,']
+    js = ['{"type":"node","id":"a","labels":["P"],"properties":{"name":"n"}}', '{"type":"relationship","start":"a","end":"b","properties":null}', '{"labels":["a","b"],"type":"node","properties":{"name":"ü","x":[1]},"id":"\\u0041"}']
+    lines = [("jsonl", '{"type":"node","id":"\\ud800","labels":["P"],"properties":{"name":"n"}}'), ("csv", "node,\u3000,P,n,,,"), ("csv", "node,\x85,P,n,,,"), ("csv", 'node,a,P,"open to the end,,,')]
+    for k in range(3000):
+        kind = "csv" if k % 2 else "jsonl"
+        t = r.choice(csv if k % 2 else js)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            p = r.randrange(len(t) + 1)
+            t = t[:p] + r.choice(['"', '"', '""', ",", ";", " ", "a", "{", "]", "0", "\\", ":", '"x', "\t"]) * r.randrange(2) + t[p + r.randrange(2) :]
+        lines.append((kind, t))
+    df = spark.createDataFrame([(k, f"f{k % 3}", kind, t) for k, (kind, t) in enumerate(lines)], "line_id bigint, file_name string, format string, line string")
+    want = {k for k, (kind, t) in enumerate(lines) if not is_record(kind, t)}
+    got = {x.line_id: x.reason for x in rejects.rejected(df).collect()}
+    assert {(lines[k], got.get(k)) for k in set(got) ^ want} == set() and 500 < len(want) < 2500
+    assert rejects.accepted(df).count() == len(lines) - len(want)
+    long = spark.createDataFrame([(k, "f", "csv", "node,a,P," + "n" * 3_000_000 + ('"' if k % 2 else "") + ",,,") for k in range(6)] + [(9, "f", "csv", "node,a,P,\"x\ny\",,,")], df.schema)
+    assert {x.line_id for x in rejects.rejected(long).collect()} == {1, 3, 5}
+
+
 def is_json(text):
     """By Python's parser, without what no UTF-8 text can hold."""
     try:
@@ -102,7 +145,7 @@ def test_nested_objects_match_a_recursive_walk(spark):
 
 def test_strict_json_matches_the_parser_on_altered_texts():
     r = random.Random(3)
-    texts = [*TEXTS, "[1,]", '{"a":1,}', "1 2", "01", "\\", '"', '{"a" 1}', "[{} {}]", '{"a":"\\ud800"}', '{"\\udc00":{}}', '{"\\ud83d\\ude00":{}}', '{"a":"\x01"}', "[" * 2000 + "]" * 2000, '["\\x"]']
+    texts = [*TEXTS, "[1,]", '{"a":1,}', "1 2", "01", "\\", '"', '{"a" 1}', "[{} {}]", '{"a":"\\ud800"}', '{"\\udc00":{}}', '{"\\ud83d\\ude00":{}}', '{"a":"\x01"}', '["\\x"]']
     for t in [t for t in TEXTS if t and is_json(t)] * 200:
         for _ in range(r.randrange(1, 3)):
             p = r.randrange(len(t) + 1)
@@ -110,6 +153,7 @@ def test_strict_json_matches_the_parser_on_altered_texts():
         texts.append(t)
     assert nested.strict(pa.array(texts)).tolist() == [bool(t) and is_json(t) for t in texts]
     assert nested.strict(pa.array([], pa.string())).tolist() == []
+    assert nested.strict(pa.array(["[" * n + "]" * n for n in (1000, 1001, 100_000)])).tolist() == [True, False, False]  # depth is bounded
 
 
 def test_nested_block_boundaries():

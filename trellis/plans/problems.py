@@ -141,7 +141,7 @@ _WORD = r"[^\s\p{Z}]"  # something that isn't blank
 _FOUND2 = f"""
 WITH csv AS (
   SELECT line_id, regexp_full_match(line, '{_CSV}', 's') AS ok, regexp_extract(line, '^{_CSV}$', ['type', 'id', 'labels', 'name', 'a', 'b', 'c'], 's') AS f FROM people_raw WHERE format = 'csv'),
-csv_values AS (SELECT line_id, ok, {", ".join(f"{_VALUE.format(c)} AS v_{c}" for c in ("type", "id", "labels", "name", "a", "b"))} FROM csv),
+csv_values AS (SELECT line_id, ok, {", ".join(f"{_VALUE.format(c)} AS v_{c}" for c in ("type", "id", "labels", "name", "a", "b", "c"))} FROM csv),
 csv_good AS (
   SELECT line_id FROM csv_values WHERE ok AND (
     (v_type = 'node' AND regexp_matches(v_id, '{_WORD}') AND regexp_matches(v_name, '{_WORD}') AND len(list_filter(string_split(v_labels, ';'), lambda x: NOT regexp_matches(x, '{_WORD}'))) = 0)
@@ -155,8 +155,21 @@ js_good AS (
      AND len(list_filter(CAST(j -> '$.labels' AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') <> 'VARCHAR' OR NOT regexp_matches(x ->> '$', '{_WORD}'))) = 0)
     OR (j ->> '$.type' = 'relationship' AND json_type(j, '$.start') = 'VARCHAR' AND json_type(j, '$.end') = 'VARCHAR'
      AND regexp_matches(j ->> '$.start', '{_WORD}') AND regexp_matches(j ->> '$.end', '{_WORD}'))))
-SELECT line_id FROM people_raw WHERE line_id NOT IN (SELECT line_id FROM csv_good UNION ALL SELECT line_id FROM js_good)
 """
+_REJECTED2 = _FOUND2 + "SELECT line_id FROM people_raw WHERE line_id NOT IN (SELECT line_id FROM csv_good UNION ALL SELECT line_id FROM js_good)"
+_TEXTS = lambda j: f"nullif(list_filter({j}, lambda x: x <> ''), [])"
+_VALID2 = (
+    _FOUND2
+    + f"""
+SELECT p.line_id, file_name, format, v_type AS type, nullif(v_id, '') AS id, {_TEXTS("string_split(v_labels, ';')")} AS labels, nullif(v_name, '') AS name, nullif(v_a, '') AS start,
+  nullif(v_b, '') AS "end", nullif(v_c, '') AS label
+FROM csv_good JOIN csv_values USING (line_id) JOIN people_raw p USING (line_id)
+UNION ALL
+SELECT p.line_id, file_name, format, j ->> '$.type', {", ".join(f"CASE WHEN json_type(j, '$.{c}') = 'VARCHAR' THEN nullif(j ->> '$.{c}', '') END" for c in ("id",))},
+  {_TEXTS("list_transform(CASE WHEN json_type(j, '$.labels') = 'ARRAY' THEN CAST(j -> '$.labels' AS JSON[]) END, lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' END)")},
+  {", ".join(f"CASE WHEN json_type(j, '$.{c}') = 'VARCHAR' THEN nullif(j ->> '$.{c}', '') END" for c in ("properties.name", "start", "end", "label"))}
+FROM js_good JOIN js USING (line_id) JOIN people_raw p USING (line_id)"""
+)
 _TREE = """SELECT DISTINCT '{0}' AS owner_table, s.id AS owner_id, replace(substr(t.fullkey, 2), '"', '') AS p
   FROM (SELECT DISTINCT id, properties FROM {0} WHERE id IS NOT NULL AND json_valid(properties)) AS s, json_tree(s.properties) AS t WHERE t.type = 'OBJECT' AND t.fullkey <> '$'"""
 _FOUND4 = f"""
@@ -176,7 +189,8 @@ SELECT owner_table, owner_id, path, regexp_replace(path, '\\.?[^.\\[\\]]*(\\[\\d
 
 SQL: dict[str, str] = {
     "p4_fields": _FIELDS4,
-    "p2_found": _FOUND2,
+    "p2_found": _REJECTED2,
+    "p2_valid": _VALID2,
     "p4_found": _FOUND4,
     "p5_found": """SELECT source_node_id, type FROM (SELECT source_node_id, type, count(DISTINCT id) AS n FROM relationships
         WHERE source_node_id IS NOT NULL AND type IS NOT NULL GROUP BY source_node_id, type)
