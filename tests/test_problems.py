@@ -200,13 +200,18 @@ def at(day):
 def test_orphans_at_their_time_and_now(spark):
     nodes = spark.createDataFrame([(1, at(2)), (1, at(2)), (2, at(5)), (3, at(1))], "id bigint, created_at timestamp")
     gone = spark.createDataFrame([(3, at(9)), (3, at(9)), (8, at(1))], "node_id bigint, deleted_at timestamp")
-    state = orphans.existence(orphans.existence_deltas(nodes, "id", "created_at", gone, "node_id", "deleted_at"))
+    deltas = orphans.existence_deltas(nodes, "id", "created_at", gone, "node_id", "deleted_at")
+    state = orphans.changes(deltas)
     refs = spark.createDataFrame([(10, 1, at(2)), (11, 1, at(1)), (12, 2, at(3)), (13, 3, at(8)), (14, 3, at(9)), (15, 7, at(3)), (16, None, at(3)), (17, 8, at(4)), (18, 1, None)], "id bigint, n bigint, t timestamp")
-    deltas = orphans.reference_deltas(refs, "r", {"number": "id"}, "n", "t")
-    found = {r.ref_key: r.period for r in orphans.report_rows(orphans.as_of(deltas, state)).collect()}
+    plus = orphans.reference_deltas(refs, "r", {"number": "id"}, "n", "t")
+    found = {r.ref_key: r.period for r in orphans.orphan_references(plus, state).collect()}
     assert found == {"11": "2024-01", "12": "2024-01", "14": "2024-01", "15": "2024-01", "17": "2024-01", "18": None}
-    book = orphans.ledger(deltas, state)
-    assert {r.key for r in orphans.current_orphans(book).collect()} == {3, 7, 8}
-    later = spark.createDataFrame([("r", "n", 7, 0, 1), ("r", "n", 1, 1, -1), ("r", "n", 8, -1, 0)], book.select("ref_table", "ref_field", "key", "refs", F.col("existence").cast("bigint")).schema)
-    assert {r.key for r in orphans.current_orphans(orphans.advance(book, [later])).collect()} == {3, 1}
-    assert orphans.as_of(deltas.limit(0), state).count() == 0 and orphans.as_of(deltas, state.limit(0)).count() == 8
+    minus = orphans.reference_deltas(refs.where("id = 15"), "r", {"number": "id"}, "n", "t", -1)  # a reference withdrawn
+    assert {r.ref_key for r in orphans.orphan_references(plus.unionByName(minus), state).collect()} == set(found) - {"15"}
+    book = orphans.reference_counts(plus)
+    assert {r.key for r in orphans.current_orphans(book, state).collect()} == {3, 7, 8}
+    born = spark.createDataFrame([(7, 1, at(20)), (8, 1, at(20)), (1, 1, at(25)), (1, -1, at(26)), (3, 1, at(27))], "key bigint, delta int, at timestamp")
+    for first, second in ((deltas, born), (born, deltas)):  # in either order
+        refs_now, ledger = orphans.advance(orphans.reference_counts(plus.limit(0)), orphans.changes(first), plus, second)
+        assert {r.key for r in orphans.current_orphans(refs_now, ledger).collect()} == {1, 3, 8}
+    assert orphans.orphan_references(plus.limit(0), state).count() == 0 and orphans.orphan_references(plus, state.limit(0)).count() == 8

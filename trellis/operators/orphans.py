@@ -2,9 +2,9 @@
 
 The ledger keeps signed counts per key, built from change deltas: +1 / -1 for a reference that appears or
 goes, +1 / -1 for a record that appears or is deleted. Deltas combine before the shuffle, so a key's state is
-one row however many references it has, and a later batch is added by summing. Keys with references and no
-existence are the current orphans. For a reference's own time the state also holds the time at which the key
-first existed and first ceased to.
+a bounded row however many references it has, and a later batch is added by summing. Keys with a positive count of references
+and no existence are the current orphans; the existence deltas keep their times, so that the count can be taken up to
+each reference's own time.
 
 Defined results: null references are none; repeated deliveries of an existence delta count once (first time);
 a reference with a null time is compared with no existence and has a null period, so it is an orphan; empty
@@ -13,9 +13,7 @@ tables give an empty report, or all references as orphans where only the referre
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators.skew import skew_join
@@ -29,11 +27,23 @@ def existence_deltas(records: DataFrame, key: str, at: str, deletions: DataFrame
     return born.unionByName(deletions.select(F.col(deleted_key).alias("key"), F.lit(-1).alias("delta"), F.col(deleted_at).alias("at")))
 
 
-def existence(deltas: DataFrame) -> DataFrame:
-    """One row a key: existence (1 or 0 now), when it first existed, when it first ceased."""
-    born, gone = F.min(F.when(F.col("delta") > 0, F.col("at"))), F.min(F.when(F.col("delta") < 0, F.col("at")))
-    state = deltas.where(F.col("key").isNotNull()).groupBy("key").agg(born.alias("born_at"), gone.alias("gone_at"))
-    return state.withColumn("existence", F.when(F.col("born_at").isNotNull() & F.col("gone_at").isNull(), 1).otherwise(0))
+def changes(deltas: DataFrame) -> DataFrame:
+    """The existence side of the ledger: each key's signed deltas, of which repeated ones of a sign count once, at their first time.
+
+    A key exists as long as their sum up to a time is positive; a deletion before the record arrives makes it -1, so that it stays an orphan.
+    """
+    return deltas.where(F.col("key").isNotNull() & F.col("at").isNotNull()).groupBy("key", "delta").agg(F.min("at").alias("at"))
+
+
+def histories(ledger: DataFrame) -> DataFrame:
+    """One row a key: its signed deltas by time (at most one of a sign)."""
+    return ledger.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "delta"))).alias("history"))
+
+
+def existence(history: str = "history", until: str | None = None) -> Column:
+    """Signed count of a key's existence, up to the time in the column `until`."""
+    held = F.col(history) if until is None else F.filter(history, lambda d: d["at"] <= F.col(until))
+    return F.coalesce(F.aggregate(held, F.lit(0), lambda n, d: n + d["delta"]), F.lit(0))
 
 
 def reference_deltas(table: DataFrame, ref_table: str, ref_key: dict[str, str], field: str, at: str, sign: int = 1) -> DataFrame:
@@ -50,29 +60,33 @@ def reference_deltas(table: DataFrame, ref_table: str, ref_key: dict[str, str],
     ).where(F.col("key").isNotNull())
 
 
-def as_of(references: DataFrame, state: DataFrame) -> DataFrame:
-    """References whose key did not exist at their own time; skewed keys are joined by broadcast."""
-    joined = skew_join(references, state.select("key", "born_at", "gone_at"), "key")
-    alive = F.coalesce((F.col("born_at") <= F.col("at")) & (F.col("gone_at").isNull() | (F.col("gone_at") > F.col("at"))), F.lit(False))
-    return joined.where(~alive)
+def counted(references: DataFrame, ledger: DataFrame) -> DataFrame:
+    """References with the signed existence count of their key at their own time; skewed keys are joined by broadcast."""
+    joined = skew_join(references, histories(ledger), "key")
+    return joined.withColumn("existence", existence(until="at")).drop("history")
 
 
-def report_rows(orphans: DataFrame) -> DataFrame:
+def orphan_references(references: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Records with a positive count of references to a key of no existence at the record's time: ref_table, ref_key, ref_field, period, refs."""
+    lost = counted(references, ledger).where(F.col("existence") <= 0)
     key = F.when(F.col("ref_text").isNotNull(), F.concat_ws(":", "ref_text", F.col("ref_number").cast("string"))).otherwise(F.col("ref_number").cast("string"))
-    return orphans.select("ref_table", key.alias("ref_key"), "ref_field", F.date_format("at", "yyyy-MM").alias("period")).distinct()
+    rows = lost.select("ref_table", key.alias("ref_key"), "ref_field", F.date_format("at", "yyyy-MM").alias("period"), "delta")
+    return rows.groupBy("ref_table", "ref_key", "ref_field", "period").agg(F.sum("delta").alias("refs")).where(F.col("refs") > 0)
 
 
-def ledger(references: DataFrame, state: DataFrame) -> DataFrame:
-    """The signed counts per (ref_table, ref_field, key): references and existence."""
-    counts = references.groupBy("ref_table", "ref_field", "key").agg(F.sum("delta").alias("refs"))
-    return counts.join(state.select("key", "existence"), "key", "left").withColumn("existence", F.coalesce("existence", F.lit(0)))
+def reference_counts(references: DataFrame) -> DataFrame:
+    """The reference side of the ledger: signed counts per (ref_table, ref_field, key)."""
+    return references.groupBy("ref_table", "ref_field", "key").agg(F.sum("delta").alias("refs"))
 
 
-def advance(book: DataFrame, deltas: list[DataFrame]) -> DataFrame:
-    """A ledger after further deltas of (ref_table, ref_field, key, refs, existence): sums, so their order is of no matter."""
-    parts = [x.select("ref_table", "ref_field", "key", "refs", "existence") for x in (book, *deltas)]
-    return reduce(DataFrame.unionByName, parts).groupBy("ref_table", "ref_field", "key").agg(F.sum("refs").alias("refs"), F.sum("existence").alias("existence"))
+def advance(refs: DataFrame, ledger: DataFrame, references: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the ledger after a further batch of reference and existence deltas, in whatever order batches come."""
+    summed = refs.unionByName(reference_counts(references)).groupBy("ref_table", "ref_field", "key").agg(F.sum("refs").alias("refs"))
+    return summed, changes(ledger.unionByName(deltas.select("key", "delta", "at")))
 
 
-def current_orphans(book: DataFrame) -> DataFrame:
-    return book.where((F.col("refs") > 0) & (F.col("existence") <= 0))
+def current_orphans(refs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Keys of positive reference count and no existence now. One row a field and key, so nothing is skewed any more."""
+    now = histories(ledger).select("key", existence().alias("existence"))
+    joined = refs.where(F.col("refs") > 0).join(now, "key", "left")
+    return joined.where(F.coalesce("existence", F.lit(0)) <= 0).select("ref_table", "ref_field", "key", "refs")

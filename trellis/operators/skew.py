@@ -2,7 +2,7 @@
 
 Heavy keys are found by a frequent-items sketch of at most 1/support keys that misses no key above that
 share. The sketch depends on the order in which its parts are merged, so it is collected once and all branches
-use the same fixed rows. Rows of heavy keys are spread over salts (the salt is a hash of the counted value, so distinct counts
+use the same fixed rows. Rows of heavy keys are spread by the hash of the counted value (so distinct counts
 add up) or joined by a broadcast of the other side's few rows; all other rows take the ordinary shuffle; the
 two results are disjoint by key and are put together by union.
 
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUPPORT = 0.002
-SALTS = 64
 
 
 def heavy_keys(df: DataFrame, keys: list[str], support: float = SUPPORT) -> DataFrame:
@@ -40,30 +39,18 @@ def split(df: DataFrame, keys: list[str], support: float = SUPPORT) -> DataFrame
 
 
 def skew_aggregate(df: DataFrame, keys: list[str], distinct: dict[str, str], low: dict[str, str] | None = None, high: dict[str, str] | None = None, rows: str | None = None, support: float = SUPPORT) -> DataFrame:
-    """Per key: exact distinct counts ({result: column}), least and greatest values, and optionally the number of rows."""
+    """Per key: exact distinct counts ({result: column}), least and greatest values, and optionally the number of rows.
+
+    Heavy keys are aggregated per key and value first, so a key's rows spread over all tasks by the hash of the value, then per key.
+    The other keys take one ordinary shuffle by key, within which everything is counted.
+    """
     low, high = low or {}, high or {}
-    tagged = split(df, keys, support)
-
-    def aggregated(part: DataFrame, salts: int) -> DataFrame:
-        pieces = []
-        for name, column in distinct.items():
-            # once per value, then per key: the value's hash spreads a heavy key over the salts
-            once = part.select(*keys, F.col(column).alias("_v")).where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.lit(1).alias("_one"))
-            if salts > 1:
-                once = once.groupBy(*keys, F.pmod(F.xxhash64("_v"), F.lit(salts)).alias("_s")).agg(F.count("*").alias("_one"))
-            pieces.append(once.groupBy(*keys).agg(F.sum("_one").alias("_n")).select(*keys, F.lit(name).alias("_what"), "_n"))
-        found = reduce(DataFrame.unionByName, pieces) if pieces else None
-        # least, greatest and the number of rows combine before the shuffle
-        plain = part.groupBy(*keys).agg(F.count("*").alias("_rows"), *(F.min(c).alias(n) for n, c in low.items()), *(F.max(c).alias(n) for n, c in high.items()))
-        if found is None:
-            return plain
-        wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_what") == n, F.col("_n"))).alias(n) for n in distinct))
-        right = wide.select(*(F.col(k).alias(k + "__w") for k in keys), *distinct)
-        joined = plain.join(right, _same(plain, right, keys, "__w"), "left")
-        return joined.select(*keys, "_rows", *low, *high, *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in distinct))
-
-    out = aggregated(tagged.where("_heavy"), SALTS).unionByName(aggregated(tagged.where(~F.col("_heavy")), 1))
-    return out.withColumnRenamed("_rows", rows) if rows else out.drop("_rows")
+    columns = list(dict.fromkeys([*keys, *distinct.values(), *low.values(), *high.values()]))
+    tagged = split(df.select(*columns), keys, support)
+    figures = [F.countDistinct(c).alias(n) for n, c in distinct.items()] + [F.min(c).alias(n) for n, c in low.items()] + [F.max(c).alias(n) for n, c in high.items()]
+    figures += [F.count("*").alias(rows)] if rows else []
+    heavy, others = tagged.where("_heavy").drop("_heavy"), tagged.where(~F.col("_heavy")).drop("_heavy")
+    return heavy.groupBy(*keys).agg(*figures).unionByName(others.repartition(*keys).groupBy(*keys).agg(*figures))
 
 
 def skew_counts(df: DataFrame, keys: list[str], unit: str, count: str = "n", support: float = SUPPORT) -> DataFrame:

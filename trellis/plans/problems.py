@@ -65,12 +65,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).where(F.col("n_rels") * 100 >= F.col("total")).select("source_node_id", "type")  # total: one row
 
 
-def _node_state(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.existence(orphans.existence_deltas(read(spark, d, "nodes"), "id", "created_at", read(spark, d, "node_deletions"), "node_id", "deleted_at"))
+def _node_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.existence_deltas(read(spark, d, "nodes"), "id", "created_at", read(spark, d, "node_deletions"), "node_id", "deleted_at")
 
 
-def _people_state(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.existence(orphans.existence_deltas(read(spark, d, "people").where(F.col("type") == "node"), "id", "loaded_at"))
+def _people_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.existence_deltas(read(spark, d, "people").where(F.col("type") == "node"), "id", "loaded_at")
 
 
 def _node_references(spark: SparkSession, d: str) -> DataFrame:
@@ -85,21 +85,34 @@ def _people_references(spark: SparkSession, d: str) -> DataFrame:
     return orphans.reference_deltas(read(spark, d, "people"), "people", {"number": "rec_no"}, "start", "loaded_at")
 
 
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    nodes = orphans.orphan_references(_node_references(spark, d), orphans.changes(_node_deltas(spark, d)))
+    return nodes.unionByName(orphans.orphan_references(_people_references(spark, d), orphans.changes(_people_deltas(spark, d))))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = orphans.report_rows(orphans.as_of(_node_references(spark, d), _node_state(spark, d)))
-    return nodes.unionByName(orphans.report_rows(orphans.as_of(_people_references(spark, d), _people_state(spark, d))))
+    return _orphans(spark, d).drop("refs")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per table, field and month."""
-    return p6_found(spark, d).groupBy("ref_table", "ref_field", "period").agg(F.count("*").alias("n_orphans"))
+    return _orphans(spark, d).groupBy("ref_table", "ref_field", "period").agg(F.count("*").alias("n_orphans"))
 
 
 def p6_current(spark: SparkSession, d: str) -> DataFrame:
     """Keys that are referred to and do not exist now, per table and field, with the number of references."""
-    nodes = orphans.ledger(_node_references(spark, d), _node_state(spark, d)).withColumn("key", F.col("key").cast("string"))
-    people = orphans.ledger(_people_references(spark, d), _people_state(spark, d))
-    return orphans.current_orphans(nodes.unionByName(people)).select("ref_table", "ref_field", "key", F.col("refs").cast("bigint").alias("refs"))
+    nodes = orphans.current_orphans(orphans.reference_counts(_node_references(spark, d)), orphans.changes(_node_deltas(spark, d)))
+    people = orphans.current_orphans(orphans.reference_counts(_people_references(spark, d)), orphans.changes(_people_deltas(spark, d)))
+    return nodes.withColumn("key", F.col("key").cast("string")).unionByName(people)
+
+
+def p6_advanced(spark: SparkSession, d: str) -> DataFrame:
+    """p6_current for the nodes by two batches of deltas, those before 2024 and the later ones (and those of no time)."""
+    early = lambda df: df.where(F.col("at") < F.lit("2024-01-01").cast("timestamp"))
+    late = lambda df: df.where(F.coalesce(F.col("at") >= F.lit("2024-01-01").cast("timestamp"), F.lit(True)))
+    references, deltas = _node_references(spark, d), _node_deltas(spark, d)
+    refs, ledger = orphans.reference_counts(early(references)), orphans.changes(early(deltas))
+    return orphans.current_orphans(*orphans.advance(refs, ledger, late(references), late(deltas)))
 
 
 QUERIES: dict[str, Query] = {
@@ -114,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p6_current": p6_current,
+    "p6_advanced": p6_advanced,
 }
 
 _FOUND6 = """
@@ -187,6 +201,15 @@ SELECT owner_table, owner_id, path, regexp_replace(path, '\\.?[^.\\[\\]]*(\\[\\d
   CASE WHEN type IN ('VARCHAR', 'BOOLEAN', 'NULL') THEN coalesce(value, 'null') END AS value, CASE WHEN type NOT IN ('VARCHAR', 'BOOLEAN', 'NULL') THEN CAST(value AS DOUBLE) END AS number FROM scalars
 """
 
+_CURRENT6 = """
+WITH gone AS (SELECT DISTINCT node_id FROM node_deletions WHERE node_id IS NOT NULL), refs AS (
+  SELECT 'relationships' AS ref_table, 'source_node_id' AS ref_field, source_node_id AS k FROM relationships
+  UNION ALL SELECT 'relationships', 'target_node_id', target_node_id FROM relationships
+  UNION ALL SELECT 'vector_entries', 'node_id', node_id FROM vector_entries)
+SELECT ref_table, ref_field, CAST(k AS VARCHAR) AS key, count(*) AS refs FROM refs
+WHERE k IS NOT NULL AND (k NOT IN (SELECT id FROM nodes WHERE id IS NOT NULL) OR k IN (SELECT node_id FROM gone)) GROUP BY ref_table, ref_field, k
+"""
+
 SQL: dict[str, str] = {
     "p4_fields": _FIELDS4,
     "p2_found": _REJECTED2,
@@ -199,13 +222,9 @@ SQL: dict[str, str] = {
         min(created_at) AS first_at, max(created_at) AS last_at FROM relationships GROUP BY source_node_id, type""",
     "p6_found": _FOUND6 + "SELECT ref_table, ref_key, ref_field, period FROM found",
     "p6_report": _FOUND6 + "SELECT ref_table, ref_field, period, count(*) AS n_orphans FROM found GROUP BY ref_table, ref_field, period",
-    "p6_current": """WITH gone AS (SELECT DISTINCT node_id FROM node_deletions WHERE node_id IS NOT NULL), refs AS (
-          SELECT 'relationships' AS ref_table, 'source_node_id' AS ref_field, source_node_id AS k FROM relationships
-          UNION ALL SELECT 'relationships', 'target_node_id', target_node_id FROM relationships
-          UNION ALL SELECT 'vector_entries', 'node_id', node_id FROM vector_entries)
-        SELECT ref_table, ref_field, CAST(k AS VARCHAR) AS key, count(*) AS refs FROM refs
-        WHERE k IS NOT NULL AND (k NOT IN (SELECT id FROM nodes WHERE id IS NOT NULL) OR k IN (SELECT node_id FROM gone)) GROUP BY ref_table, ref_field, k
-        UNION ALL
+    "p6_current": _CURRENT6
+    + """UNION ALL
         SELECT 'people', 'start', start, count(*) FROM people
         WHERE start IS NOT NULL AND start NOT IN (SELECT id FROM people WHERE type = 'node' AND id IS NOT NULL) GROUP BY start""",
+    "p6_advanced": _CURRENT6.replace("CAST(k AS VARCHAR)", "k"),
 }
