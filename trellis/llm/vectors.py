@@ -1,17 +1,19 @@
 """The k most similar vectors for every vector, by a hierarchical k-means tree searched best bin first.
 
-The upper level of the tree (cells) is fitted per index on a bounded sample (SAMPLE vectors an index, up to
-SAMPLE_MOST as the number of cells asks); every cell fits its own lower level (leaves) on all its vectors. A cell
-that holds far more than CELL vectors is split into blocks, which its queries all visit, so no task gets an
-unbounded group. A tree for clusters is divided instead: an oversized cell gets a tree of its own, so that similar
-vectors stay together. Exact copies are one member while a block is searched; a query that is one of very many copies
-finds enough of them in its own block and visits no other. A vector is a
-member of its nearest cell and a query there and in every other cell within a margin of it; the margin is
-calibrated on the sample so that its true neighbours' cells are visited. Inside a cell a query takes the
+The upper levels of the tree (cells) are fitted per index on a bounded sample (SAMPLE vectors an index, up to
+SAMPLE_MOST as the number of cells asks), in which copies count once; a cell that more than BLOCK distinct vectors would visit gets a
+tree of its own, and so on, so that similar vectors stay together and no task gets an unbounded group. Every cell fits
+its own lowest level (leaves) on all its vectors. A vector is a member of its nearest cell and a query there and in
+every other cell within a margin of it; the margin is calibrated on the sample so that its true neighbours' cells
+are visited (in parts of a divided cell, at most MOST_VISITS cells a vector on average), and so that they hold enough members. Inside a cell a query takes the
 leaves from its priority queue, nearest centroid first, and goes on to further leaves until the number of
 visits that gave the wished recall on the cell's calibration queries, which are searched exactly. Every vector
 is indexed and every vector is a query; only fitting and calibration use samples.
 
+Exact copies are one member while a cell is searched. Of more than k + 1 copies in a batch only those of the least
+ids go to the cell; the others (the crowd) have the same neighbours as any copy of a greater id, wait beside it in
+salted groups of ids, and take over that one answer.
+
 Defined results: a vector is current if its key has no later version, copies count once, equal times with
 other vectors keep one of them by order of the bytes; null, wrongly sized, non-finite and zero vectors are
 unusable, as are those of an unknown index; a vector with fewer than k companions has them all; a vector is
@@ -32,8 +34,9 @@ SAMPLE_PER_CELL = 40
 SAMPLE_MOST = 131_072
 CELL = 16_384
 BLOCK = 2 * CELL
-MANY_COPIES = 30  # in the sample
-MOST_VISITS = 1.5  # of a part's vectors, on average, before its margin is given up
+MOST_VISITS = 4.0  # of a part's vectors, on average, before its margin is narrowed
+ENOUGH = 4  # times k + 1 members in the cells a query visits
+SALTS = 32
 LEAF = 192
 RECALL = 0.97
 CALIBRATION = 256
@@ -113,20 +116,18 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
 
 
 class Tree:
-    """Upper level of one index: unit centroids of the cells, the margin within which a query visits further cells, and the cells' blocks.
-
-    If divided is set, copies in the sample count once and an oversized cell gets a tree of its own (parts)."""
+    """Upper levels of one index: unit centroids of the cells, the margin within which a query visits further cells, and the trees of divided cells (parts)."""
 
-    def __init__(self, sample: np.ndarray, total: float, k: int, cell: int = CELL, block: int = BLOCK, divided: bool = False, seed: int = 7, per_cell: int = 8) -> None:
-        if divided:
-            distinct = np.unique(np.ascontiguousarray(sample).view(f"V{sample.shape[1] * 4}").ravel(), return_index=True)[1]
-            sample, total = sample[np.sort(distinct)], total * len(distinct) / len(sample)
+    def __init__(self, sample: np.ndarray, total: float, k: int, cell: int = CELL, block: int = BLOCK, seed: int = 7, per_cell: int = 8, divide: bool = True) -> None:
+        distinct = np.unique(np.ascontiguousarray(sample).view(f"V{sample.shape[1] * 4}").ravel(), return_index=True)[1]
+        sample, total = sample[np.sort(distinct)], total * len(distinct) / len(sample)
         cells = max(1, min(round(total / cell), len(sample) // per_cell))
         self.centroids = kmeans(sample, cells, 12, seed) if cells > 1 else sample[:1]
-        home = (sample @ self.centroids.T).argmax(axis=1)
-        self.blocks = np.ceil(np.bincount(home, minlength=len(self.centroids)) * (total / len(sample)) / block).astype(np.int64).clip(1)
         self.margin = np.float32(0)
+        self.least = ENOUGH * (k + 1)
+        self.held = np.bincount((sample @ self.centroids.T).argmax(axis=1), minlength=len(self.centroids)) * (total / len(sample))  # members of each cell, as estimated
         if len(self.centroids) > 1:
+            home = (sample @ self.centroids.T).argmax(axis=1)
             q = sample[:: max(1, len(sample) // 1024)]
             gaps = []
             for part in np.array_split(q, max(1, len(q) * len(sample) // (1 << 24))):
@@ -134,21 +135,32 @@ class Tree:
                 to_cells = part @ self.centroids.T
                 gaps.append(to_cells.max(axis=1)[:, None] - np.take_along_axis(to_cells, home[near], axis=1))
             self.margin = np.float32(np.quantile(np.concatenate(gaps), RECALL))
-        packed_rows = np.ascontiguousarray(sample).view(f"V{sample.shape[1] * 4}").ravel()
-        own, counts = np.unique(packed_rows, return_counts=True)
-        self.many = {x.tobytes() for x in own[counts >= MANY_COPIES]}
         self.parts: dict[int, Tree] = {}
-        if divided:
+        if divide:
             self._divide(sample, total / len(sample), k, block, seed)
 
+    def _narrow(self, x: np.ndarray) -> None:
+        """Narrows the margin to MOST_VISITS cells a row on average."""
+        if self.route(x)[1].sum() > MOST_VISITS * len(x):
+            sims = x @ self.centroids.T
+            gaps = (sims.max(axis=1)[:, None] - sims).ravel()
+            nth = int(MOST_VISITS * len(x)) - 1
+            self.margin = np.float32(np.partition(gaps, nth)[nth])
+
     def _divide(self, sample: np.ndarray, share: float, k: int, block: int, seed: int) -> None:
-        """Gives each cell of more than a block's vectors a tree of its own; share is the number of vectors a sampled one stands for."""
+        """Gives each cell that more than a block's vectors visit a tree of its own; share is the number of vectors a sampled one stands for."""
         visits = self.route(sample)[1]
         for c in np.flatnonzero(visits.sum(axis=0) * share > block).tolist():
             inside = sample[visits[:, c]]
-            part = Tree(inside, len(inside) * share, k, max(1, block // 2), block, seed=seed, per_cell=2)
-            held = part.route(inside)[1].sum(axis=0)
-            if held.sum() > MOST_VISITS * len(inside) or held.max() == len(inside):  # the margin would undo the split
+            cell = block // 2
+            for _ in range(3):  # smaller cells where many are visited
+                part = Tree(inside, len(inside) * share, k, max(1, cell), block, seed, per_cell=2, divide=False)
+                part._narrow(inside)
+                held = part.route(inside)[1].sum(axis=0)
+                if held.max() * share <= block:
+                    break
+                cell = int(min(cell / 2, cell * block / (held.max() * share)))
+            if held.max() == len(inside):  # the margin would undo the split
                 part.margin = np.float32(0)
                 held = part.route(inside)[1].sum(axis=0)
             if held.max() < len(inside):
@@ -159,42 +171,38 @@ class Tree:
         """Cells, those of the parts in place of the divided ones."""
         return len(self.centroids) + sum(p.size() - 1 for p in self.parts.values())
 
-    def leaves(self, x: np.ndarray) -> list[list[int]]:
-        """Numbers of the undivided cells that each row visits."""
-        visits = self.route(x)[1]
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Home cell of each row, and which cells it visits: those within the margin, and further ones as long as nearer ones hold too few members."""
+        sims = x @ self.centroids.T
+        best = sims.max(axis=1)
+        visits = sims >= (best - self.margin)[:, None]
+        if self.held.min() < self.least:
+            order = np.argsort(-sims, axis=1, kind="stable")
+            nearer = np.cumsum(self.held[order], axis=1) - self.held[order]
+            visits |= np.take_along_axis(nearer < self.least, np.argsort(order, axis=1), axis=1)
+        return sims.argmax(axis=1), visits
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """Numbers of the home cell and of all the cells that each row visits, in which divided cells are their parts'."""
+        home, visits = self.route(x)
+        own = np.zeros(len(x), np.int64)
         out: list[list[int]] = [[] for _ in range(len(x))]
         start = 0
         for c in range(len(self.centroids)):
             rows = np.flatnonzero(visits[:, c])
             part = self.parts.get(c)
-            inner = part.leaves(x[rows]) if part else [[0]] * len(rows)
+            inner_home, inner = part.leaves(x[rows]) if part else (np.zeros(len(rows), np.int64), [[0]] * len(rows))
+            at_home = home[rows] == c
+            own[rows[at_home]] = start + inner_home[at_home]
             for r, found in zip(rows.tolist(), inner, strict=True):
                 out[r] += [start + n for n in found]
             start += part.size() if part else 1
-        return out
+        return own, out
 
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Home cell of each row, and which cells it visits."""
-        sims = x @ self.centroids.T
-        best = sims.max(axis=1)
-        return sims.argmax(axis=1), sims >= (best - self.margin)[:, None]
-
-    def places(self, x: np.ndarray, ids: np.ndarray, members: bool) -> list[list[int]]:
-        """Where each row goes, as 2 * (cell << 32 | block) + is_member: a member of one block of its home cell and a query in
-        every block of the cells it visits; or, if members is set, as 2 * cell + 1: a member of each undivided cell it visits, as a whole."""
-        if members:
-            return [[2 * c + 1 for c in cells] for cells in self.leaves(x)]
-        home, visits = self.route(x)
-        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        out = []
-        for k, (h, v) in enumerate(zip(home.tolist(), visits, strict=True)):
-            cells = np.flatnonzero(v).tolist()
-            mine = {c: int(spread[k] % np.uint64(self.blocks[c])) for c in cells}
-            if self.many and x[k].tobytes() in self.many:
-                out.append([2 * (h << 32 | mine[h]) + 1])
-            else:
-                out.append([2 * (c << 32 | b) + (c == h and b == mine[c]) for c in cells for b in range(self.blocks[c])])
-        return out
+    def places(self, x: np.ndarray) -> list[list[int]]:
+        """Where each row goes, as 2 * cell + is_home."""
+        own, cells = self.leaves(x)
+        return [[2 * c + (c == h) for c in found] for h, found in zip(own.tolist(), cells, strict=True)]
 
 
 def _drawn(df: DataFrame, totals: dict[str, int]) -> DataFrame:
@@ -209,38 +217,47 @@ def _totals(df: DataFrame) -> dict[str, int]:
     return {r.index_name: r.n for r in df.groupBy("index_name").agg(F.count("*").alias("n")).collect() if r.index_name is not None}  # one row an index
 
 
-def _planted(drawn: DataFrame, totals: dict[str, int], k: int, divided: bool, seed: int = 7) -> dict[str, Tree]:
+def _planted(drawn: DataFrame, totals: dict[str, int], k: int, seed: int = 7) -> dict[str, Tree]:
     rows: dict[str, list[bytes]] = {}
-    for r in drawn.where(F.col("vec").isNotNull()).select("index_name", "vec").toArrow().to_batches():
+    for r in drawn.where(F.col("vec").isNotNull()).select("index_name", "vec").toArrow().to_batches():  # bound: the sample
         for i, v in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
             rows.setdefault(i, []).append(v)
-    return {i: Tree(np.frombuffer(b"".join(sorted(v)), np.float32).reshape(len(v), -1), totals[i], k, CELL, BLOCK, divided, seed) for i, v in sorted(rows.items())}
+    return {i: Tree(np.frombuffer(b"".join(sorted(v)), np.float32).reshape(len(v), -1), totals[i], k, CELL, BLOCK, seed) for i, v in sorted(rows.items())}
 
 
-def fit_trees(versions: DataFrame, entries: DataFrame, indexes: DataFrame, k: int, divided: bool = False) -> dict[str, Tree]:
+def fit_trees(entries: DataFrame, indexes: DataFrame, k: int) -> dict[str, Tree]:
     """One tree an index, fitted on a sample drawn by a hash of the key."""
     totals = _totals(entries)
-    return _planted(packed(_drawn(entries, totals), indexes), totals, k, divided)
+    return _planted(packed(_drawn(entries, totals), indexes), totals, k)
 
 
 def fit_packed(vectors: DataFrame, k: int, seed: int) -> dict[str, Tree]:
-    """Divided trees of packed vectors."""
+    """Trees of packed vectors."""
     totals = _totals(vectors)
-    return _planted(_drawn(vectors, totals), totals, k, True, seed)
+    return _planted(_drawn(vectors, totals), totals, k, seed)
+
 
+def by_name(names: pa.Array, wanted: object) -> Iterator[tuple[str, np.ndarray]]:
+    """The rows of each wanted name."""
+    coded = names.dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    for c, i in enumerate(coded.dictionary.to_pylist()):
+        if i in wanted:
+            yield i, np.flatnonzero(codes == c)
 
-def routed(versions: DataFrame, trees: dict[str, Tree], members: bool = False) -> DataFrame:
+
+def routed(versions: DataFrame, trees: dict[str, Tree]) -> DataFrame:
     """Adds the places of every usable vector; an index whose sample was empty has one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, vec, ids = b.column(0).to_pylist(), b.column(3), b.column(1).to_numpy()
+            vec = b.column(3)
             places: list[list[int]] = [[1]] * b.num_rows
             valid = np.asarray(vec.is_valid())
-            for i in {n for n in names if n in trees}:
-                rows = np.flatnonzero(valid & np.array([n == i for n in names]))
+            for i, rows in by_name(b.column(0), trees):
+                rows = rows[valid[rows]]
                 if len(rows):
-                    for r, v in zip(rows.tolist(), trees[i].places(matrix(vec.take(pa.array(rows))), ids[rows], members), strict=True):
+                    for r, v in zip(rows.tolist(), trees[i].places(matrix(vec.take(pa.array(rows)))), strict=True):
                         places[r] = v
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, pa.list_(pa.int64()))], [*b.schema.names, "places"])
 
@@ -337,49 +354,105 @@ def search_distinct(members: np.ndarray, queries: np.ndarray, own: np.ndarray, k
     return best, score
 
 
-def by_cell(vectors: DataFrame) -> DataFrame:
-    """One row per vector and place: `cell` (with the block) and whether it is a member there."""
-    placed = vectors.select("index_name", "node_id", "vec", F.explode("places").alias("place"))
-    return placed.select("index_name", F.shiftright("place", 1).alias("cell"), "node_id", "vec", ((F.col("place") % 2) == 1).alias("is_home"))
+def copies(names: pa.Array, vec: pa.Array) -> np.ndarray:
+    """The number of each row's distinct (index, vector) in a batch."""
+    i, v = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), vec.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return np.unique(i.astype(np.int64) << 32 | v, return_inverse=True)[1]
+
+
+def _crowds(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes all but the k + 1 least ids of very many copies out of a batch: they become rows of one vector with a list of ids, in cells below 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, ids, vec, places = b.columns
+            group = copies(names, vec)
+            many = np.bincount(group, minlength=1) > k + 1
+            crowd = many[group]
+            yield pa.RecordBatch.from_arrays([names, ids, vec, places, pa.array(crowd), pa.nulls(len(ids), pa.list_(pa.int64()))], CROWDED).filter(pa.array(_kept(ids.to_numpy(), group, crowd, k)))
+            for g in np.flatnonzero(many).tolist():
+                rows = np.flatnonzero(group == g)
+                others = np.sort(ids.to_numpy()[rows])[k + 1 :].tolist()
+                one = slice(int(rows[0]), int(rows[0]) + 1)
+                cell = [-2 * (1 + others[0] % SALTS)]
+                yield pa.RecordBatch.from_arrays(
+                    [names[one], pa.nulls(1, pa.int64()), vec[one], pa.array([cell], pa.list_(pa.int64())), pa.array([True]), pa.array([others], pa.list_(pa.int64()))], CROWDED
+                )
+
+    return run
+
+
+CROWDED = ["index_name", "node_id", "vec", "places", "crowd", "waiting"]
+
+
+def _kept(ids: np.ndarray, group: np.ndarray, crowd: np.ndarray, k: int) -> np.ndarray:
+    keep = ~crowd
+    for g in np.unique(group[crowd]).tolist():
+        rows = np.flatnonzero(group == g)
+        keep[rows[np.argsort(ids[rows], kind="stable")[: k + 1]]] = True
+    return keep
+
+
+def by_cell(vectors: DataFrame, k: int) -> DataFrame:
+    """One row per vector and place: the cell, whether it is a member there, and crowds in cells below 0."""
+    thin = vectors.select("index_name", "node_id", "vec", "places").mapInArrow(_crowds(k), "index_name string, node_id bigint, vec binary, places array<bigint>, crowd boolean, waiting array<bigint>")
+    placed = thin.select("index_name", "node_id", "vec", "crowd", "waiting", F.explode("places").alias("place"))
+    return placed.select("index_name", F.shiftright("place", 1).alias("cell"), "node_id", "vec", ((F.col("place") % 2) == 1).alias("is_home"), "crowd", "waiting")
+
+
+FOUND = "index_name string, node_id bigint, crowd binary, salt bigint, neighbours array<bigint>, sims array<double>, waiting array<bigint>"
 
 
 def _neighbours(k: int) -> Callable[[pa.Table], pa.Table]:
+    names = [f.split()[0] for f in FOUND.split(", ")]
+
     def run(t: pa.Table) -> pa.Table:
+        n, cell = t.num_rows, t.column("cell")[0].as_py() if t.num_rows else 0
+        index = t.column("index_name")[0].as_py() if n else None
+        if cell < 0:  # ids that wait for the answer to their vector
+            none = pa.array([[]] * n, pa.list_(pa.int64()))
+            return pa.Table.from_arrays([t.column("index_name"), t.column("node_id"), t.column("vec"), pa.array([-1 - cell] * n, pa.int64()), none, none.cast(pa.list_(pa.float64())), t.column("waiting")], names=names)
         t = t.sort_by("node_id")
         x, ids = matrix(t.column("vec")), t.column("node_id").to_numpy()
-        member = np.flatnonzero(t.column("is_home").to_numpy())
-        own = np.full(len(ids), -1)
+        home = t.column("is_home").to_numpy()
+        member = np.flatnonzero(home)
+        own = np.full(n, -1)
         own[member] = np.arange(len(member))
-        best, score = search(x[member], x, own, k)
+        asked = np.flatnonzero(home & t.column("crowd").to_numpy())
+        asked = asked[np.unique(copies(t.column("index_name").combine_chunks(), t.column("vec").combine_chunks())[asked], return_index=True)[1]]
+        best, score = search(x[member], np.concatenate([x, x[asked]]), np.concatenate([own, np.full(len(asked), -1)]), k)
+        row = np.concatenate([np.arange(n), np.repeat(np.arange(n, n + len(asked)), SALTS)])  # a crowd's answer goes to each of its salts
+        best, score = best[row], score[row]
         held = best >= 0
         counts = np.r_[0, np.cumsum(held.sum(axis=1))].astype(np.int32)
         near = pa.ListArray.from_arrays(pa.array(counts), pa.array(ids[member][best[held]] if len(member) else np.zeros(0, np.int64)))
         sims = pa.ListArray.from_arrays(pa.array(counts), pa.array(score[held].astype(np.float64)))
-        return pa.Table.from_arrays([t.column("index_name"), t.column("node_id"), near, sims], names=["index_name", "node_id", "neighbours", "sims"])
+        extra = len(row) - n
+        node = pa.array(np.concatenate([ids, np.zeros(extra, np.int64)]), mask=np.arange(len(row)) >= n)
+        vec = pa.array([None] * n + [v for v in t.column("vec").take(pa.array(asked)).to_pylist() for _ in range(SALTS)], pa.binary())
+        salt = pa.array(np.concatenate([np.zeros(n, np.int64), np.tile(np.arange(SALTS), len(asked))]))
+        return pa.Table.from_arrays([pa.array([index] * len(row), pa.string()), node, vec, salt, near, sims, pa.array([[]] * len(row), pa.list_(pa.int64()))], names=names)
 
     return run
 
 
 def nearest(entries: DataFrame, indexes: DataFrame, k: int = 10) -> DataFrame:
     """index_name, node_id, neighbour, similarity, rank: the k most similar current, usable vectors of the same index."""
-    versions = packed(entries, indexes)
-    trees = fit_trees(versions, entries, indexes, k)
-    found = by_cell(current_routed(versions, trees)).groupBy("index_name", "cell").applyInArrow(
-        _neighbours(k), "index_name string, node_id bigint, neighbours array<bigint>, sims array<double>"
-    )
+    trees = fit_trees(entries, indexes, k)
+    found = by_cell(current_routed(packed(entries, indexes), trees), k).groupBy("index_name", "cell").applyInArrow(_neighbours(k), FOUND)
     pairs = F.transform(F.arrays_zip("neighbours", "sims"), lambda x: F.struct((-x.sims).alias("s"), x.neighbours.alias("n")))
-    found = found.select("index_name", "node_id", pairs.alias("near"))
     # Queries of several cells have k pairs from each; one aggregation for all, so that no cell is searched twice.
-    merged = found.groupBy("index_name", "node_id").agg(F.flatten(F.collect_list("near")).alias("near"))
-    merged = merged.select("index_name", "node_id", F.slice(F.array_sort("near"), 1, k).alias("near"))
+    merged = found.withColumn("near", pairs).groupBy("index_name", "node_id", "crowd", "salt").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("waiting")).alias("waiting"))
+    nodes = F.when(F.col("node_id").isNotNull(), F.array("node_id")).otherwise(F.col("waiting"))
+    merged = merged.select("index_name", F.explode(nodes).alias("node_id"), F.slice(F.array_sort("near"), 1, k).alias("near"))
     rows = merged.select("index_name", "node_id", F.posexplode("near").alias("pos", "x"))
     return rows.select("index_name", "node_id", F.col("x.n").alias("neighbour"), (-F.col("x.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
-def current_routed(versions: DataFrame, trees: dict[str, Tree], members: bool = False) -> DataFrame:
+def current_routed(versions: DataFrame, trees: dict[str, Tree]) -> DataFrame:
     """Routing comes before the one shuffle by key, so vectors pass through Python once."""
     latest = Window.partitionBy("index_name", "node_id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("vec"))
-    return routed(versions, trees, members).withColumn("_n", F.row_number().over(latest)).where((F.col("_n") == 1) & F.col("vec").isNotNull()).drop("_n", "updated_at")
+    return routed(versions, trees).withColumn("_n", F.row_number().over(latest)).where((F.col("_n") == 1) & F.col("vec").isNotNull()).drop("_n", "updated_at")
 
 
 def similar_pairs(neighbours: DataFrame, least: float = 0.95) -> DataFrame:
