@@ -29,6 +29,11 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).withColumn("similarity", F.round("similarity", 6))
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 by brute force for every vector whose id is divisible by 100."""
+    return vectors.recall(read(spark, d, "vector_entries"), read(spark, d, "vector_indexes")).withColumn("recall", F.round("recall", 4))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     members, _ = clusters.clustered(read(spark, d, "vector_entries"), read(spark, d, "vector_indexes"))
     return members.select("index_name", "node_id", "cluster_key")
@@ -64,6 +69,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p1_recall": p1_recall,
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
     "p7_ids": p7_ids,

@@ -22,13 +22,17 @@ never its own neighbour; ties in similarity go to the smaller id; extra columns
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.tables import written
+
 SAMPLE = 6000
 SAMPLE_PER_CELL = 40
 SAMPLE_MOST = 131_072
@@ -37,6 +41,7 @@ BLOCK = 2 * CELL
 MOST_VISITS = 4.0  # of a part's vectors, on average, before its margin is narrowed
 ENOUGH = 4  # times k + 1 members in the cells a query visits
 SALTS = 32
+QUERIES = 8192  # of a brute-force comparison at once
 LEAF = 192
 RECALL = 0.97
 CALIBRATION = 256
@@ -455,6 +460,52 @@ def current_routed(versions: DataFrame, trees: dict[str, Tree]) -> DataFrame:
     return routed(versions, trees).withColumn("_n", F.row_number().over(latest)).where((F.col("_n") == 1) & F.col("vec").isNotNull()).drop("_n", "updated_at")
 
 
+def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """index_name, node_id, sims: the k greatest similarities of each query vector to all vectors of its index but itself, by brute force.
+
+    For a stated set of queries: they go to the workers in blocks of QUERIES, each block against all vectors, of which every batch leaves k a query.
+    """
+    parts = []
+    block: dict[str, list[tuple[int, bytes]]] = {}
+    rows = queries.select("index_name", "node_id", "vec").toLocalIterator()
+    while True:
+        block = {}
+        for r in itertools.islice(rows, QUERIES):
+            block.setdefault(r.index_name, []).append((r.node_id, bytes(r.vec)))
+        if not block:
+            break
+        held = {i: (np.array([n for n, _ in v]), np.frombuffer(b"".join(x for _, x in v), np.float32).reshape(len(v), -1)) for i, v in block.items()}
+
+        def run(batches: Iterator[pa.RecordBatch], held: dict = held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, at in by_name(b.column(0), held):
+                    ids, q = held[i]
+                    s = q @ matrix(b.column(2).take(pa.array(at))).T
+                    s[ids[:, None] == b.column(1).to_numpy()[at][None, :]] = -2
+                    top = -np.sort(-s, axis=1)[:, :k]
+                    flat = pa.array(top.ravel().astype(np.float64))
+                    offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * top.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(ids), pa.string()), pa.array(ids), pa.ListArray.from_arrays(offsets, flat)], ["index_name", "node_id", "sims"])
+
+        found = vectors.select("index_name", "node_id", "vec").mapInArrow(run, "index_name string, node_id bigint, sims array<double>")
+        best = F.slice(F.sort_array(F.flatten(F.collect_list("sims")), False), 1, k)
+        parts.append(found.groupBy("index_name", "node_id").agg(F.filter(best, lambda x: x > -2).alias("sims")))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "index_name string, node_id bigint, sims array<double>")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def recall(entries: DataFrame, indexes: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+    """index_name, n_queries, recall of nearest() by brute force, for the vectors whose id is divisible by `every` against all; equal similarities count alike."""
+    vectors = written(current(packed(entries, indexes)))
+    exact = exact_nearest(vectors, vectors.where(F.col("node_id") % every == 0), k)
+    got = nearest(entries, indexes, k).where(F.col("node_id") % every == 0).groupBy("index_name", "node_id").agg(F.collect_list("similarity").alias("got"))
+    both = exact.join(got, ["index_name", "node_id"], "left")
+    hits = F.size(F.filter("got", lambda x: x >= F.element_at("sims", -1) - 1e-5))
+    counted = both.where(F.size("sims") > 0).select("index_name", F.greatest(F.coalesce(hits, F.lit(0)), F.lit(0)).alias("hits"), F.size("sims").alias("n"))
+    return counted.groupBy("index_name").agg(F.count("*").alias("n_queries"), (F.sum(F.least("hits", "n")) / F.sum("n")).alias("recall"))
+
+
 def similar_pairs(neighbours: DataFrame, least: float = 0.95) -> DataFrame:
     """index_name, node_a < node_b of pairs at least so similar of which one is among the other's neighbours."""
     close = neighbours.where(F.col("similarity") >= least)
