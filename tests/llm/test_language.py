@@ -60,3 +60,21 @@ def test_rows(spark):
     model = L.fit_on(docs, 100)
     assert L.LANGUAGES[model.paragraph(L.paragraph_words(en))[0]] == "en"
     assert L.LANGUAGES[L.fit_on(docs.limit(0)).paragraph(["x"])[0]] in L.LANGUAGES
+
+
+def test_long_words_count_like_short_ones():
+    import numpy as np
+
+    from trellis.llm import language as L
+
+    table = {x: np.full(6, p) for x, p in (("▁a", 0.2), ("b", 0.1), ("ab", 0.3), ("a", 0.05), ("▁", 0.1))}
+    model = L.Model(table)
+    word = "ab" * 15
+    plain = L._counts({word: 2}, model, 0)
+    spans = [(i, j, s, p[0]) for i, j, s, p in model.spans(word)]
+    logs = {}
+    for (_, _, s, _), x in zip(spans, L._log_posteriors(spans, len(word) + 1)):
+        logs[s] = logs.get(s, 0.0) + 2 * x
+    assert plain.keys() == logs.keys() and all(abs(plain[s] - logs[s]) < 1e-9 for s in plain)
+    long = L._counts({"ab" * 400: 1}, model, 0)
+    assert abs(sum(len(s.lstrip("▁")) * x for s, x in long.items()) - 800) < 1e-6

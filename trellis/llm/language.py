@@ -33,6 +33,7 @@ KNOWN_WORDS = 400_000  # words whose scores a worker remembers
 LONGEST_PIECE = 12
 RARE = 3  # training words of a language seen less often are left out: most are invented names
 FLOOR = 1e-7
+LONG_WORD = 40  # letters, up to which plain products stay in range
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 ADDRESS = re.compile(r"\S+@\S+|https?://\S+")
 START = "▁"
@@ -112,23 +113,35 @@ class Model:
         return best, float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
+def _log_posteriors(spans: list[tuple[int, int, str, float]], size: int) -> list[float]:
+    """The probability of each span in a word's segmentations."""
+    f, b = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    f[0] = b[size] = 0.0
+    for i, j, _, p in spans:
+        f[j] = np.logaddexp(f[j], f[i] + np.log(p))
+    for i, j, _, p in reversed(spans):
+        b[i] = np.logaddexp(b[i], b[j] + np.log(p))
+    return [float(np.exp(f[i] + np.log(p) + b[j] - f[size])) for i, j, _, p in spans]
+
+
 def _counts(words: Counter, model: Model, lang: int) -> dict[str, float]:
     """Expected piece counts of one language: forward-backward over every word's segmentations."""
     out: dict[str, float] = defaultdict(float)
     for word, n in words.items():
-        if len(word) > 60:
-            continue
         spans = [(i, j, s, p[lang]) for i, j, s, p in model.spans(word)]
         size = len(word) + 1
+        if size > LONG_WORD:  # in logarithms, as its sums would leave the range
+            for (_, _, s, _), x in zip(spans, _log_posteriors(spans, size), strict=True):
+                out[s] += n * x
+            continue
         f, b = [0.0] * (size + 1), [0.0] * (size + 1)
         f[0] = b[size] = 1.0
         for i, j, _, p in spans:
             f[j] += f[i] * p
         for i, j, _, p in reversed(spans):
             b[i] += b[j] * p
-        if f[size] > 0:
-            for i, j, s, p in spans:
-                out[s] += n * f[i] * p * b[j] / f[size]
+        for i, j, s, p in spans:
+            out[s] += n * f[i] * p * b[j] / f[size]
     return out
 
 
