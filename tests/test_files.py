@@ -38,6 +38,25 @@ def test_loaders(spark, tmp_path):
             g.rows(bad)
 
 
+def test_loaders_with_places_from_rows(spark, tmp_path):
+    g = Graph(spark)
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f'name,n\n"x, {k}",{k}\nshort\n')
+        (tmp_path / f"{k}.json").write_text(f'[{{"k":{k}}},null,]')
+        (tmp_path / f"{k}.html").write_text(f"<p class='a'>{k}</p>")
+        (tmp_path / f"{k}.xml").write_text(f"<r><b>{k}</b></r>")
+    at = str(tmp_path)
+    each = lambda what, rest: sorted(rows(g, f"UNWIND [0, 1, 1, 2] AS k WITH k, '{at}/' + toString(k) + '.{what}' AS u {rest}"), key=str)
+    assert each("csv", "LOAD CSV WITH HEADERS FROM u AS r RETURN k, r.name, r.n") == sorted([(k, *r) for k in (0, 1, 1, 2) for r in ((f"x, {k}", str(k)), ("short", None))], key=str)
+    assert each("csv", "LOAD CSV FROM u AS r RETURN k, size(r)") == sorted([(k, n) for k in (0, 1, 1, 2) for n in (2, 2, 1)], key=str)
+    assert each("json", "CALL apoc.load.json(u) YIELD value RETURN k, toInteger(value.k)") == [(k, k) for k in (0, 1, 1, 2)]
+    assert each("html", "CALL apoc.load.html(u, {t: 'p.a'}) YIELD value UNWIND value.t AS x RETURN k, toString(x.text)") == [(k, str(k)) for k in (0, 1, 1, 2)]
+    assert each("xml", "CALL apoc.load.xml(u, '/r/b') YIELD value RETURN k, toString(value._text)") == [(k, str(k)) for k in (0, 1, 1, 2)]
+    assert rows(g, "UNWIND [] AS u CALL apoc.load.json(u) YIELD value RETURN value") == [] and rows(g, f"UNWIND [null, '{at}/1.csv'] AS u LOAD CSV FROM u AS r RETURN COUNT(*)") == [(3,)]
+    with pytest.raises(CypherExecutionError):
+        g.rows("UNWIND ['a'] AS u CALL db.text.search(u) YIELD node RETURN node")
+
+
 def test_import_json(spark, tmp_path):
     g = Graph(spark)
     lines = [{"type": "node", "id": "1", "labels": ["P"], "properties": {"name": "i"}}, {"type": "node", "id": "2", "labels": ["P"], "properties": {"name": "j"}}, {"type": "relationship", "start": {"id": "1"}, "end": "2", "label": "L", "properties": {"w": 1}}]
@@ -62,6 +81,10 @@ def test_exports_round_trip(spark, tmp_path):
     assert key(export.load(Graph(spark), str(tmp_path / "pq"))) == key(g)
     lines = [r.value for r in export.ntriples(g, "http://x/").collect()]
     assert '<urn:b> <http://x/y> "2.5"^^<http://www.w3.org/2001/XMLSchema#double> .' in lines and f"<http://x/node/{a}> <http://x/T> <urn:b> ." in lines and sum("rdf-syntax-ns#subject" in x for x in lines) == 1
+    data = [json.loads(r.value) for r in export.jsonld(g, "http://x/").collect()]
+    own = next(x for x in data if x["@id"] == f"http://x/node/{a}" and "@type" in x)
+    assert sorted(own["@type"]) == ["http://x/A", "http://x/Odd Name"] and own["http://x/name"] == [{"@value": "it's \\ \"q\"\n"}] and own["http://x/x"] == [{"@value": "1", "@type": "http://www.w3.org/2001/XMLSchema#integer"}]
+    assert {"@id": f"http://x/node/{a}", "http://x/T": [{"@id": "urn:b"}]} in data and export.jsonld(Graph(spark)).count() == 0
     assert sum("/l> " in x for x in lines) == 2 and "n1 -->|T| n2" in export.diagram(g, "mermaid") and json.loads(export.diagram(g, "d3"))["links"][0]["type"] == "T"
     assert export.vector_literal([1.0, 0.25]) == "[1, 0.25]"
 

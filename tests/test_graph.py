@@ -2,7 +2,7 @@
 
 import pytest
 
-from trellis.exceptions import ConstraintError, CypherExecutionError, InvalidFilterError, InvalidLabelError, InvalidPropertyError, NodeNotFoundError
+from trellis.exceptions import ConstraintError, CypherExecutionError, InvalidFilterError, InvalidLabelError, InvalidPropertyError, NodeNotFoundError, TrellisError
 from trellis.functions.embedding import HashingEmbedder
 from trellis.functions.filters import LabelFilter, PropertyFilter, PropertyFilterGroup, SortOrder
 from trellis.graph import Graph
@@ -175,6 +175,11 @@ def test_search(spark):
     g.upsert_embeddings("v", [(1, [1, 0]), (2, [0, 1]), (3, [1, 1]), (77, [1, 0])])
     assert [r.node_id for r in g.semantic_search([1, 0.1], 2, "v").collect()] == [1, 3]
     assert rows(g, "CALL db.vector.search('v', [1.0, 0.1], 2, {labels: ['Employee']}) YIELD node, score MATCH (node)-[:KNOWS]->(m) RETURN node.name, m.name") == [("Bob", "Cid")]
+    with pytest.raises(TrellisError):
+        g.semantic_search([1, 0.1], 2, "v", probes=1)
+    g.build_vector_index("v", lists=2)
+    near = [r.node_id for r in g.semantic_search([1, 0.1], 2, "v", probes=1).collect()]
+    assert near[0] == 1 and [r.node_id for r in g.semantic_search([1, 0.1], 2, "v", probes=2).collect()] == [1, 3]
     g.register_reranker("last", lambda q, c: [(x["id"], -x["score"]) for x in c])
     assert [r.node_id for r in g.semantic_search([1, 0.1], 1, "v", reranker="last", candidate_multiplier=3).collect()] == [2]
     g.register_text_index("notes").add([(1, "the spare pump and the pump house"), (2, "the ferry"), (3, None)])

@@ -22,6 +22,8 @@ class Table:
 
     labels: of a node table whose rows all have them, or the one type of a relationship table; else empty.
     ends: labels of the tables a relationship table's ends lie in, where declared.
+    single: whether a relationship table has one row for each of its start's or end's nodes, as that side is the node table's own key column.
+        Only the order of joins goes by it.
     load: makes the rows and property types when they are first asked for, so a query opens only the tables it uses.
     """
 
@@ -33,8 +35,9 @@ class Table:
         labels: tuple[str, ...] = (),
         ends: tuple[str | None, str | None] = (None, None),
         load: Callable[[], tuple[DataFrame, dict[str, T.DataType]]] | None = None,
+        single: tuple[bool, bool] = (False, False),
     ) -> None:
-        self.kind, self.labels, self.ends = kind, labels, ends
+        self.kind, self.labels, self.ends, self.single = kind, labels, ends, single
         self._load = load
         self._held = (df, props or {}) if df is not None else None
 
@@ -53,7 +56,7 @@ class Table:
         return self._content()[1]
 
     def but(self, df: DataFrame, props: dict[str, T.DataType] | None = None, labels: tuple[str, ...] | None = None) -> Table:
-        return Table(self.kind, df, self.props if props is None else props, self.labels if labels is None else labels, self.ends)
+        return Table(self.kind, df, self.props if props is None else props, self.labels if labels is None else labels, self.ends, single=self.single)
 
     def may_have(self, labels: tuple[str, ...]) -> bool:
         if not self.labels:
@@ -101,7 +104,7 @@ def node_table(label: str, source: Source, key: str, ordinal: int, props: list[s
     return Table("node", labels=(label,), load=load)
 
 
-def rel_table(kind: str, source: Source, start: tuple[str, int, str], end: tuple[str, int, str], props: list[str] | None) -> Table:
+def rel_table(kind: str, source: Source, start: tuple[str, int, str], end: tuple[str, int, str], props: list[str] | None, single: tuple[bool, bool] = (False, False)) -> Table:
     """A relationship type over a table; start and end give label, ordinal and key column. Ids are a hash of the row."""
 
     def load() -> tuple[DataFrame, dict[str, T.DataType]]:
@@ -115,7 +118,7 @@ def rel_table(kind: str, source: Source, start: tuple[str, int, str], end: tuple
         )
         return out, {n: t for n, (_, t) in cols.items()}
 
-    return Table("rel", labels=(kind,), ends=(start[0], end[0]), load=load)
+    return Table("rel", labels=(kind,), ends=(start[0], end[0]), load=load, single=single)
 
 
 def merged_props(tables: list[Table]) -> dict[str, T.DataType]:

@@ -314,9 +314,18 @@ class Compiler:
         named = p.var is not None
         nodes: list[Column] = [F.array(a.struct().col)] if named else []
         node_types, rel_types, rels = [a.struct().dt], [], []
+        if not named and self.closes_early(f, elements, reverse):
+            f, _, _ = self.hop(self.check(f, a, elements[-1]), a, elements[-2], elements[-3], not reverse, False)
+            elements = elements[:-2]
+        skip = False
         for k in range(1, len(elements), 2):
             rel, node = elements[k], elements[k + 1]
-            if rel.length is None:
+            if skip:
+                skip = False
+            elif not named and self.bridges(f, elements[k : k + 4], reverse):
+                f, a = self.bridge(f, a, *elements[k : k + 4], reverse)
+                skip = True
+            elif rel.length is None:
                 f, a, r = self.hop(f, a, rel, node, reverse, named)
                 if named:
                     nodes.append(F.array(a.struct().col))
@@ -334,6 +343,42 @@ class Compiler:
             f = self.name_path(f, str(p.var), nodes, rels, node_types, rel_types, reverse)
         return f
 
+    def one_each(self, rel: A.RelPat, reverse: bool, labels: tuple[str, ...]) -> bool:
+        """Whether every node with the labels has at most one such relationship in the direction read, by the tables' keys."""
+        if rel.length is not None or rel.direction == "both":
+            return False
+        side = 0 if (rel.direction == "out") != reverse else 1
+        near = {x.lower() for x in labels}
+        fits = [t for t in self.state.rels if t.may_have(rel.types) and (t.ends[side] is None or not near or str(t.ends[side]).lower() in near)]
+        return bool(near) and self.static(near) and len({t.ends[side] for t in fits}) == len(fits) > 0 and all(t.single[side] for t in fits)
+
+    def closes_early(self, f: Frame, elements: list, reverse: bool) -> bool:
+        """A chain that returns to its start, whose last hop, read from there, leads to one node each: it is taken first."""
+        rels, nodes = elements[1::2], elements[::2]
+        closed = len(rels) >= 3 and nodes[0].var and nodes[0].var == nodes[-1].var and nodes[-2].var and all(r.length is None for r in rels)
+        fresh = closed and not any(n.var in f.scope.vars for n in nodes[1:-1] if n.var) and not any(r.var in f.scope.vars for r in rels if r.var)
+        return bool(fresh) and self.one_each(rels[-1], not reverse, nodes[0].labels or nodes[-1].labels)
+
+    def bridges(self, f: Frame, part: list, reverse: bool) -> bool:
+        """Two hops to a bound node, of which the second leads to one node each: they meet before they are joined, on both ends."""
+        if len(part) < 4:
+            return False
+        first, middle, second, far = part
+        new = all(not x.var or x.var not in f.scope.vars for x in (first, middle, second))
+        plain = first.length is None and not any(x.props is not None and names_in(x.props) for x in (first, middle, second))
+        return new and plain and bool(far.var) and isinstance(f.scope.vars.get(far.var), Ent) and self.one_each(second, reverse, middle.labels)
+
+    def bridge(self, f: Frame, a: Ent, first: A.RelPat, middle: A.NodePat, second: A.RelPat, far: A.NodePat, reverse: bool) -> tuple[Frame, Ent]:
+        rels, r, at, to, ends = self.rel_scan(first, a, middle, reverse)
+        nodes, b = self.node_scan(middle, ends)
+        onward, s, at2, to2, _ = self.rel_scan(second, b, None, reverse)
+        start = Frame(rels.join(nodes, ref(to) == ref(b.id)), Scope())
+        pairs = self.check(start, b, middle, labels=False).df.join(onward, ref(b.id) == ref(at2))
+        end = f.scope.vars[far.var]
+        df = f.df.join(pairs, (f.df[f"`{a.id}`"] == pairs[f"`{at}`"]) & (f.df[f"`{end.id}`"] == pairs[f"`{to2}`"]))
+        scope = self.with_var(self.with_var(self.with_var(f.scope, middle.var, b), first.var, r), second.var, s)
+        return self.check(Frame(df, scope, keys=f.keys), end, far), end
+
     def name_path(self, f: Frame, var: str, nodes: list[Column], rels: list[Column], node_types: list, rel_types: list, reverse: bool) -> Frame:
         nt, rt = self.one_struct(node_types), self.one_struct(rel_types) if rel_types else T.StructType([T.StructField("id", LONG)])
 
@@ -718,11 +763,19 @@ class Compiler:
     def do_loadcsv(self, c: A.LoadCsv, f: Frame) -> Frame:
         from trellis.sources import files
 
-        source = self.exprs(f).ex(c.source).const
+        place = self.exprs(f).ex(c.source)
+        source = self.params[c.source.name] if isinstance(c.source, A.Param) else place.const
+        name = self.name("row")
+        if source is None:  # the place comes from the rows: each file is read once, by a worker
+            key = self.name("place")
+            keyed = f.df.withColumn(key, place.col.cast("string"))
+            rows, v = files.csv_each(keyed.select(ref(key).alias("source")).distinct(), c.headers, c.separator)
+            rows = rows.select(F.col("source").alias(key + "_"), F.col("row").alias(name))
+            joined = keyed.join(rows, ref(key) == ref(key + "_")).drop(key, key + "_")
+            return Frame(joined, self.with_var(f.scope, c.var, column(name, v, None)), keys=f.keys)
         if not isinstance(source, str):
-            raise CypherExecutionError("LOAD CSV takes a literal place")
+            raise CypherExecutionError("LOAD CSV takes a place")
         rows, v = files.csv_rows(self.spark, source, c.headers, c.separator)
-        name = self.name("row")
         df = rows.withColumnRenamed("row", name)
         joined = df if f.unit else f.df.crossJoin(df)
         return Frame(joined, self.with_var(f.scope, c.var, column(name, v, None)), keys=f.keys)

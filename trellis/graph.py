@@ -39,6 +39,7 @@ class Graph:
     def register_nodes(self, label: str, source: catalog.Source, key: str, props: list[str] | None = None) -> Graph:
         """A label over a table (or a function that gives it when it is first used), its columns typed properties."""
         self.ordinals.setdefault(label, len(self.ordinals) + 1)
+        self.keys[label] = key
         table = catalog.node_table(label, source, key, self.ordinals[label], props)
         self.state = self.state.but(nodes=(*self.state.nodes, table))
         return self
@@ -46,7 +47,8 @@ class Graph:
     def register_relationships(self, kind: str, source: catalog.Source, start: tuple[str, str], end: tuple[str, str], props: list[str] | None = None) -> Graph:
         """A relationship type over a table; start and end are (label, key column); all other columns are properties unless named."""
         ends = [(label, self.ordinals[label], key) for label, key in (start, end)]
-        table = catalog.rel_table(kind, source, ends[0], ends[1], props)
+        single = (self.keys.get(start[0]) == start[1], self.keys.get(end[0]) == end[1])
+        table = catalog.rel_table(kind, source, ends[0], ends[1], props, single)
         self.state = self.state.but(rels=(*self.state.rels, table))
         return self
 
@@ -450,12 +452,20 @@ class Graph:
         entries = entries.select(F.col("node_id").cast("bigint").alias("node_id"), F.col("vector").cast("array<double>").alias("vector"))
         old = entry["df"]
         df = entries if old is None else old.join(entries, "node_id", "left_anti").unionByName(entries)
-        self.state = self.state.but(vectors=self.state.vectors | {name: entry | {"df": df}})
+        self.state = self.state.but(vectors=self.state.vectors | {name: entry | {"df": df, "lists": None}})
+
+    def build_vector_index(self, name: str, lists: int = 100) -> None:
+        """Sorts the vectors into inverted lists for approximate search; later changes of the vectors drop the lists."""
+        entry = self.vector_index(name)
+        if entry["df"] is None:
+            raise TrellisError(f"vector index {name} is empty")
+        index, centroids = search.inverted_lists(entry["df"], "node_id", "vector", lists)
+        self.state = self.state.but(vectors=self.state.vectors | {name: entry | {"lists": (cut(index), centroids)}})
 
     def remove_embeddings(self, name: str, ids: list[int]) -> None:
         entry = self.vector_index(name)
         if entry["df"] is not None:
-            self.state = self.state.but(vectors=self.state.vectors | {name: entry | {"df": entry["df"].where(~F.col("node_id").isin(*ids))}})
+            self.state = self.state.but(vectors=self.state.vectors | {name: entry | {"df": entry["df"].where(~F.col("node_id").isin(*ids)), "lists": None}})
 
     def register_embedder(self, name: str, f: Callable[[list[str]], list[list[float]]]) -> None:
         self.embedders[name] = f
@@ -464,9 +474,12 @@ class Graph:
         self.rerankers[name] = f
 
     def semantic_search(
-        self, query: list[float] | str, k: int | None = None, index: str = "default", labels: LabelFilter | None = None, properties: Any = None, rerank: bool = False, reranker: str | None = None, candidate_multiplier: int = 4
+        self, query: list[float] | str, k: int | None = None, index: str = "default", labels: LabelFilter | None = None, properties: Any = None, rerank: bool = False, reranker: str | None = None, candidate_multiplier: int = 4, probes: int | None = None
     ) -> DataFrame:
-        """node_id and score of the k nearest existing nodes; exact, the candidates filtered before they are scored."""
+        """node_id and score of the k nearest existing nodes, the candidates filtered before they are scored.
+
+        Exact, unless the index has lists (build_vector_index) and `probes` says how many of them to search.
+        """
         entry = self.vector_index(index)
         k = k or entry["default_k"] or self.top_k
         if isinstance(query, str):
@@ -476,6 +489,10 @@ class Graph:
         vectors = entry["df"]
         if vectors is None:
             return self.spark.createDataFrame([], "node_id bigint, score double")
+        if probes is not None:
+            if entry.get("lists") is None:
+                raise TrellisError(f"vector index {index} has no lists; build_vector_index makes them")
+            vectors = search.probed(*entry["lists"], query, probes)
         nodes = self.match_nodes(labels, properties).select("id")
         vectors = vectors.join(nodes, vectors["node_id"] == nodes["id"], "left_semi")
         if reranker is not None:

@@ -8,8 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trellis.tables import written
+
 K1, B = 1.2, 0.75
 RRF = 60
+CHANGES = 16  # of a text index before its documents are written anew
 
 
 def _accents() -> tuple[str, str]:
@@ -123,10 +126,14 @@ class TextIndex:
         self.spark = spark
         self.stop = frozenset(StopWordsRemover.loadDefaultStopWords("english")) if stop is None else stop
         self.docs = spark.createDataFrame([], "doc_id bigint, text string")
+        self.changes = 0
 
     def add(self, docs: DataFrame | list[tuple[int, str]]) -> None:
         new = self.spark.createDataFrame(docs, "doc_id bigint, text string") if isinstance(docs, list) else docs.select("doc_id", "text")
         self.docs = self.docs.join(new, "doc_id", "left_anti").unionByName(new)
+        self.changes += 1
+        if self.changes % CHANGES == 0:  # so that plans don't grow with the number of changes
+            self.docs = written(self.docs)
 
     def remove(self, ids: list[int]) -> None:
         self.docs = self.docs.where(~F.col("doc_id").isin(*ids))
@@ -159,10 +166,11 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
-def reciprocal_ranks(frames: list[DataFrame], key: str, k: int, constant: int = RRF, weights: list[float] | None = None) -> DataFrame:
-    """Fusion of ranked frames of (key, score): sum of weight / (constant + rank)."""
+def reciprocal_ranks(frames: list[DataFrame], key: str, k: int, constant: int = RRF, weights: list[float] | None = None, depth: int = 1000) -> DataFrame:
+    """Fusion of ranked frames of (key, score), of which the `depth` best rows count: sum of weight / (constant + rank)."""
     parts = []
     for f, w in zip(frames, weights or [1.0] * len(frames), strict=True):
+        f = f.orderBy(F.col("score").desc(), key).limit(depth)  # so one task ranks a bounded list
         rank = F.row_number().over(Window.orderBy(F.col("score").desc(), key))  # frames are top-k lists
         parts.append(f.select(key, (F.lit(w) / (constant + rank)).alias("part")))
     fused = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("part").alias("score"))
@@ -181,6 +189,11 @@ def inverted_lists(vectors: DataFrame, key: str, vector: str, lists: int, seed:
 
 def probe(index: DataFrame, centroids: list[list[float]], key: str, vector: str, query: list[float], k: int, probes: int = 10, metric: str = "cosine") -> DataFrame:
     """Searches the lists of the nearest centroids only."""
+    return nearest(probed(index, centroids, query, probes), key, vector, query, k, metric)
+
+
+def probed(index: DataFrame, centroids: list[list[float]], query: list[float], probes: int) -> DataFrame:
+    """The vectors of the lists whose centroids are nearest to the query."""
     far = [sum((a - b) ** 2 for a, b in zip(c, query, strict=True)) for c in centroids]
     near = sorted(range(len(far)), key=far.__getitem__)[:probes]
-    return nearest(index.where(F.col("list").isin(*near)), key, vector, query, k, metric)
+    return index.where(F.col("list").isin(*near))

@@ -352,20 +352,6 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return found.select((F.col("node_id") - g.global_id("Vec", 0)).alias("vec_id"), F.round("score", 5).alias("score"))
 
 
-def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal-rank fusion of two text rankings."""
-    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
-    frames = [search.bm25(docs, ["doc_id"], "text", q, 50) for q in ("harbour team", "spare pump")]
-    return search.reciprocal_ranks(frames, "doc_id", 20).select("doc_id", F.round("score", 8).alias("score"))
-
-
-def ivf(spark: SparkSession, d: str) -> DataFrame:
-    vectors = read(spark, d, "embeddings")
-    index, centroids = search.inverted_lists(vectors, "vec_id", "embedding", 16)
-    query = list(vectors.where("vec_id = 7").first().embedding)  # type: ignore[union-attr]
-    return search.probe(index, centroids, "vec_id", "embedding", query, 10, 16).select("vec_id", F.round("score", 5).alias("score"))
-
-
 def rdf(spark: SparkSession, d: str) -> DataFrame:
     g = Graph(spark)
     g.register_nodes("Region", read(spark, d, "region"), "r_regionkey").register_nodes("Nation", read(spark, d, "nation"), "n_nationkey", ["n_name"])
@@ -433,8 +419,6 @@ FUNCTIONS: dict[str, tuple[Query, str | None]] = {
         knn_filtered,
         "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 5) AS score FROM embeddings WHERE label >= 3 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, vec_id LIMIT 5",
     ),
-    "ivf_search": (ivf, None),
-    "hybrid_search": (hybrid, None),
     "rdf_triples": (
         rdf,
         "SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS predicate, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'http://x/IN_REGION', count(*) FROM nation UNION ALL SELECT 'http://x/r_regionkey', count(*) FROM region UNION ALL SELECT 'http://x/r_name', count(*) FROM region UNION ALL SELECT 'http://x/n_name', count(*) FROM nation",

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,10 @@ def call(comp: Compiler, c: A.CallProc, args: list[Val], f: Frame) -> Frame:
     """The procedure's rows joined to each binding; no rows, no binding."""
     if c.name.lower() not in PROCEDURES:
         raise CypherExecutionError(f"unknown procedure {c.name}")
-    for a, e in zip(args, c.args, strict=True):
-        if a.const is None and not (isinstance(e, A.Lit) and e.value is None) and not isinstance(e, A.Param):
+    if any(a.const is None and not (isinstance(e, A.Lit) and e.value is None) and not isinstance(e, A.Param) for a, e in zip(args, c.args, strict=True)):
+        if c.name.lower() not in FROM_ROWS:
             raise CypherExecutionError(f"{c.name} takes constant arguments")
+        return call_each(comp, c, args, f)
     values = [comp.params[e.name] if isinstance(e, A.Param) else a.const for a, e in zip(args, c.args, strict=True)]
     df, types, kinds = PROCEDURES[c.name.lower()](comp, *values)
     wanted = c.yields or [(n, n) for n in types]
@@ -55,6 +57,50 @@ def call(comp: Compiler, c: A.CallProc, args: list[Val], f: Frame) -> Frame:
     return out
 
 
+def call_each(comp: Compiler, c: A.CallProc, args: list[Val], f: Frame) -> Frame:
+    """A loader whose arguments come from the rows: each distinct set of arguments is loaded once, by a worker, and joined back."""
+    load = FROM_ROWS[c.name.lower()]
+    params = [comp.params[e.name] if isinstance(e, A.Param) else None for e in c.args]
+    key, name = comp.name("args"), comp.name("proc")
+    # constants that are maps or null go as they are, the rest as one JSON text a row
+    fixed = [p if isinstance(e, A.Param) else a.const if a.const is not None else None for a, e, p in zip(args, c.args, params, strict=True)]
+    moving = [k for k, (a, e) in enumerate(zip(args, c.args, strict=True)) if a.const is None and not isinstance(e, A.Param) and not (isinstance(e, A.Lit) and e.value is None)]
+    keyed = f.df.withColumn(key, F.to_json(F.array(*(F.to_json(F.struct(args[k].col.alias("x"))) for k in moving))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["key"]:
+                values = list(fixed)
+                for k, x in zip(moving, json.loads(text), strict=True):
+                    values[k] = json.loads(x).get("x")
+                found = load(*values) if values[0] is not None else []
+                yield pd.DataFrame({"key": [text] * len(found), "value": found})
+
+    loaded = keyed.select(ref(key).alias("key")).distinct().mapInPandas(run, "key string, value string")
+    loaded = loaded.select(F.col("key").alias(key + "_"), F.parse_json("value").alias(name))
+    out = Frame(keyed.join(loaded, ref(key) == ref(key + "_")).drop(key, key + "_"), f.scope.copy(), keys=f.keys)
+    for given, alias in c.yields or [("value", "value")]:
+        if given != "value":
+            raise CypherExecutionError(f"{c.name} yields no {given}")
+        out.scope.vars[alias] = column(name, VARIANT)
+    return out
+
+
+def _text(source: str, **how: Any) -> str:
+    return files.fetch(source, **how).decode("utf-8-sig")
+
+
+# What a worker does for one set of arguments: JSON texts of the values.
+FROM_ROWS: dict[str, Callable[..., list[str]]] = {
+    "apoc.load.json": lambda source: files.json_texts(_text(source)),
+    "apoc.load.jsonarray": lambda source: files.json_texts(_text(source), True),
+    "apoc.load.jsonparams": lambda source, params=None, headers=None, options=None: files.json_texts(_text(files.with_params(source, params), headers=headers, payload=(options or {}).get("payload"), options=options)),
+    "apoc.load.html": lambda source, selectors: [files.html_text(_text(source), selectors)],
+    "apoc.load.xml": lambda source, path="/", options=None: files.xml_texts(_text(source, options=options), path or "/"),
+    "apoc.load.xmlparams": lambda source, path, params=None, headers=None, options=None: files.xml_texts(_text(files.with_params(source, params), options=options), path or "/"),
+}
+
+
 def dynamic_values(df: DataFrame) -> tuple[DataFrame, dict, dict]:
     return df.select("value"), {"value": VARIANT}, {}
 

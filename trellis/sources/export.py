@@ -165,6 +165,26 @@ def ntriples(graph: Graph, base: str = "http://example.org/") -> DataFrame:
     return triples(graph, base).select(F.concat(F.lit("<"), "subject", F.lit("> <"), "predicate", F.lit("> "), obj, F.lit(" .")).alias("value"))
 
 
+def jsonld(graph: Graph, base: str = "http://example.org/") -> DataFrame:
+    """A column `value` of JSON-LD node objects in expanded form: one for each resource with its types and values, and one for each link.
+
+    Objects of one @id belong together, as JSON-LD has it, so a resource of very many links is never gathered in one place.
+    """
+    rows = triples(graph, base)
+    is_type = F.col("predicate") == RDF_TYPE
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    plain = F.concat(F.lit('{"@value":'), quoted("object"), F.lit("}"))
+    typed = F.concat(F.lit('{"@value":'), quoted("object"), F.lit(',"@type":'), quoted("datatype"), F.lit("}"))
+    entry = F.when(is_type, quoted("object")).when(F.col("datatype") == XSD + "string", plain).when(F.col("datatype").isNotNull(), typed).otherwise(F.concat(F.lit('{"@id":'), quoted("object"), F.lit("}")))
+    key = F.when(is_type, F.lit('"@type"')).otherwise(quoted("predicate"))
+    each = rows.select("subject", key.alias("key"), entry.alias("entry"), (is_type | F.col("datatype").isNotNull()).alias("own"))
+    member = lambda entries: F.concat("key", F.lit(":["), entries, F.lit("]"))
+    whole = lambda members: F.concat(F.lit('{"@id":'), quoted("subject"), F.lit(","), members, F.lit("}")).alias("value")
+    own = each.where("own").groupBy("subject", "key").agg(member(F.array_join(F.array_sort(F.collect_list("entry")), ",")).alias("member"))
+    nodes = own.groupBy("subject").agg(F.array_join(F.array_sort(F.collect_list("member")), ",").alias("members")).select(whole(F.col("members")))
+    return nodes.unionByName(each.where(~F.col("own")).select(whole(member(F.col("entry")))))
+
+
 def _labelled(graph: Graph) -> tuple[DataFrame, DataFrame]:
     nodes = graph.nodes_frame()
     title = F.coalesce(*([ref("p_name").cast("string")] if "p_name" in nodes.columns else []), F.concat(F.array_join("labels", ":"), F.lit(" "), F.col("id").cast("string")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import itertools
 import json
 import lzma
 import re
@@ -114,6 +115,40 @@ def csv_rows(spark: SparkSession, source: str, headers: bool, separator: str = "
     return df.select(F.array(*cells).alias("row")), T.ArrayType(T.StringType())
 
 
+def csv_each(sources: DataFrame, headers: bool, separator: str = ",") -> tuple[DataFrame, T.DataType]:
+    """source and row of every record of the files named in the column `source`, each file read by a worker."""
+    import csv
+
+    kind: T.DataType = T.MapType(T.StringType(), T.StringType()) if headers else T.ArrayType(T.StringType())
+
+    def run(batches: Any) -> Any:
+        for b in batches:
+            for source in b["source"].dropna():
+                rows = csv.reader(io.StringIO(fetch(source).decode("utf-8-sig"), newline=""), delimiter=separator)
+                names = [n.strip() for n in next(rows, [])] if headers else []
+                while part := list(itertools.islice(rows, 10_000)):
+                    filled = [[x or None for x in r] for r in part if r]
+                    cells = [dict(zip(names, [*r, *[None] * (len(names) - len(r))], strict=False)) for r in filled] if headers else filled
+                    yield pd.DataFrame({"source": [source] * len(cells), "row": cells})
+
+    return sources.mapInPandas(run, T.StructType([T.StructField("source", T.StringType()), T.StructField("row", kind)])), kind
+
+
+def json_texts(text: str, must_be_array: bool = False) -> list[str]:
+    """The items of an array, or one value, as JSON texts; none for null."""
+    text = text.removeprefix("\ufeff")
+    try:
+        value = json.loads(text)
+    except ValueError:
+        try:
+            value = json.loads(re.sub(r",(\s*[\]}])", r"\1", text))
+        except ValueError:
+            raise CypherExecutionError("the file is no JSON") from None
+    if must_be_array and not isinstance(value, list):
+        raise CypherExecutionError("the file is no JSON array")
+    return [json.dumps(x) for x in (value if isinstance(value, list) else [value]) if x is not None]
+
+
 def tidy(text: Column) -> Column:
     """Without a byte-order mark and trailing commas."""
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r",(\s*[\]}])", "$1")
@@ -214,19 +249,18 @@ def html_select(text: Column, selectors: dict[str, str]) -> Column:
 
     @F.pandas_udf(T.StringType())  # type: ignore[call-overload]
     def run(pages: pd.Series) -> pd.Series:
-        def one(page: str | None) -> str | None:
-            if page is None:
-                return None
-            b = TreeBuilder()
-            b.feed(page)
-            b.close()
-            return json.dumps({k: [{"text": " ".join(e.text().split())} for e in select(b.root, s)] for k, s in selectors.items()})
-
-        return pages.map(one)
+        return pages.map(lambda page: None if page is None else html_text(page, selectors))
 
     return run(text)
 
 
+def html_text(page: str, selectors: dict[str, str]) -> str:
+    b = TreeBuilder()
+    b.feed(page)
+    b.close()
+    return json.dumps({k: [{"text": " ".join(e.text().split())} for e in select(b.root, s)] for k, s in selectors.items()})
+
+
 # XML
 def xml_map(e: ElementTree.Element) -> dict[str, Any]:
     """_tag, _attributes, _text and the children by tag; a repeated child is a list."""
@@ -250,21 +284,20 @@ def xml_select(text: Column, path: str) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))  # type: ignore[call-overload]
     def run(docs: pd.Series) -> pd.Series:
-        def one(doc: str | None) -> list[str] | None:
-            if doc is None:
-                return None
-            root = ElementTree.fromstring(doc)
-            if path in ("/", "", "."):
-                found = [root]
-            elif path.startswith("//"):
-                found = root.findall("." + path)
-            elif path.startswith("/"):
-                steps = path.strip("/").split("/")
-                found = ([root] if len(steps) == 1 else root.findall("./" + "/".join(steps[1:]))) if steps[0] == root.tag else root.findall("." + path)
-            else:
-                found = root.findall(path)
-            return [json.dumps(xml_map(e)) for e in found]
-
-        return docs.map(one)
+        return docs.map(lambda doc: None if doc is None else xml_texts(doc, path))
 
     return run(text)
+
+
+def xml_texts(doc: str, path: str) -> list[str]:
+    root = ElementTree.fromstring(doc)
+    if path in ("/", "", "."):
+        found = [root]
+    elif path.startswith("//"):
+        found = root.findall("." + path)
+    elif path.startswith("/"):
+        steps = path.strip("/").split("/")
+        found = ([root] if len(steps) == 1 else root.findall("./" + "/".join(steps[1:]))) if steps[0] == root.tag else root.findall("." + path)
+    else:
+        found = root.findall(path)
+    return [json.dumps(xml_map(e)) for e in found]

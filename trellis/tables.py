@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trellis.exceptions import TrellisError
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -20,9 +22,11 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names it, else (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir where the cluster names it, else, on a local master only (tests), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise TrellisError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "trellis-shared")
     return folder.rstrip("/")
 
@@ -36,8 +40,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back: a columnar cut of the lineage."""
+    """Writes the rows as Parquet in the shared folder and reads them back: a columnar cut of the lineage. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/trellis-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
