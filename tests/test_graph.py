@@ -191,6 +191,15 @@ def test_search(spark):
     assert g.semantic_search("Bob", 1, "h").first().node_id == 2
 
 
+def test_shortest_paths_stop_when_all_pairs_are_met(spark):
+    g = Graph(spark)
+    ids = g.create_nodes([(["N"], {"k": k}, None) for k in range(6)])
+    g.create_relationships([(ids[a], ids[b], "T", {}, None) for a, b in ((0, 1), (1, 2), (2, 3), (0, 2), (3, 0), (4, 5))])
+    text = "MATCH (a:N), (b:N) WHERE a.k IN [0, 1, 4] AND b.k IN [0, 3, 5] MATCH p = shortestPath((a)-[:T*..5]->(b)) RETURN a.k AS a, b.k AS b, length(p) AS l"
+    assert sorted(rows(g, text)) == [(0, 3, 2), (1, 0, 3), (1, 3, 2), (4, 5, 1)]
+    assert sorted(rows(g, text.replace("shortestPath", "allShortestPaths").replace("*..5", "*0..5"))) == [(0, 0, 0), (0, 3, 2), (1, 0, 3), (1, 3, 2), (4, 5, 1)]
+
+
 def test_paths_have_no_depth_limit_of_their_own(spark):
     g = Graph(spark)
     ids = g.create_nodes([(["N"], {"k": k}, None) for k in range(8)])

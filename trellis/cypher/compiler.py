@@ -515,7 +515,14 @@ class Compiler:
         now = now.select(ref(a.id), ref(visited), ref(end), *(ref(n) for n in names or ()))
         found = [now.join(ends, ref(end) == F.col("goal_id"), "left_semi")] if lo == 0 else []
         reached = now.select(ref(a.id).alias("r_start"), ref(end).alias("r_end"))
+        wanted = None  # pairs of given ends not met so far; a path never comes back to its start
+        if isinstance(far, Ent):
+            wanted = cut(f.df.select(ref(a.id).alias("w_start"), ref(far.id).alias("w_end")).distinct().where("w_start <> w_end"))
         for _ in range(1, hi + 1):
+            if wanted is not None:
+                if wanted.isEmpty():
+                    break
+                now = now.join(wanted.select("w_start").distinct(), ref(a.id) == F.col("w_start"), "left_semi")
             now, _, _ = self.level_step(now, rel, False, visited, end, names, keep)
             now = now.join(reached, (ref(a.id) == F.col("r_start")) & (ref(end) == F.col("r_end")), "left_anti")
             if p.function == "shortestpath":  # one path a pair, the first by the ids on it
@@ -525,7 +532,10 @@ class Compiler:
             if now.isEmpty():
                 break
             found.append(now.join(ends, ref(end) == F.col("goal_id"), "left_semi"))
-            reached = reached.unionByName(now.select(ref(a.id).alias("r_start"), ref(end).alias("r_end")).distinct())
+            ends_now = now.select(ref(a.id).alias("r_start"), ref(end).alias("r_end")).distinct()
+            reached = reached.unionByName(ends_now)
+            if wanted is not None:
+                wanted = cut(wanted.join(ends_now, (F.col("w_start") == F.col("r_start")) & (F.col("w_end") == F.col("r_end")), "left_anti"))
         paths = reduce(DataFrame.unionByName, found) if found else now.limit(0)
         paths = paths.withColumnRenamed(a.id, "s_id")
         if isinstance(far, Ent):

@@ -19,6 +19,7 @@ if TYPE_CHECKING:
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDF_STATEMENT = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+MOST_DRAWN = 100_000
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
@@ -221,11 +222,14 @@ def register_diagram(kind: str, f: Callable[[list, list], str]) -> None:
 
 
 def diagram(graph: Graph, kind: str) -> str:
-    """Text of a diagram: for graphs that a person can look at, as all of it comes to the driver."""
+    """Text of a diagram: for graphs that a person can look at, of at most MOST_DRAWN nodes and as many links, as all of it comes to the driver."""
     if kind not in DIAGRAMS:
         raise TrellisError(f"unknown diagram {kind}; there are {sorted(DIAGRAMS)}")
     nodes, rels = _labelled(graph)
-    return DIAGRAMS[kind](nodes.orderBy("id").collect(), rels.orderBy("src", "dst", "type").collect())
+    ns, rs = nodes.orderBy("id").limit(MOST_DRAWN + 1).collect(), rels.orderBy("src", "dst", "type").limit(MOST_DRAWN + 1).collect()
+    if max(len(ns), len(rs)) > MOST_DRAWN:
+        raise TrellisError(f"a diagram has at most {MOST_DRAWN} nodes and links")
+    return DIAGRAMS[kind](ns, rs)
 
 
 def to_networkx(graph: Graph, directed: bool = True) -> Any:
