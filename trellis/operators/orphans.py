@@ -35,9 +35,11 @@ def changes(deltas: DataFrame) -> DataFrame:
     return deltas.where(F.col("key").isNotNull() & F.col("at").isNotNull()).groupBy("key", "delta").agg(F.min("at").alias("at"))
 
 
-def histories(ledger: DataFrame) -> DataFrame:
-    """One row a key: its signed deltas by time (at most one of a sign)."""
-    return ledger.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "delta"))).alias("history"))
+def histories(deltas: DataFrame) -> DataFrame:
+    """One row a key: its signed deltas, of which those of a sign count once, at their first time. Takes a ledger or the deltas as they are."""
+    signs = [F.struct(F.min(F.when(test, F.col("at"))).alias("at"), F.lit(sign).alias("delta")) for test, sign in ((F.col("delta") > 0, 1), (F.col("delta") < 0, -1))]
+    rows = deltas.where(F.col("key").isNotNull()).groupBy("key").agg(F.array(*signs).alias("history"))
+    return rows.select("key", F.filter("history", lambda d: d["at"].isNotNull()).alias("history"))
 
 
 def existence(history: str = "history", until: str | None = None) -> Column:

@@ -86,8 +86,8 @@ def _people_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    nodes = orphans.orphan_references(_node_references(spark, d), orphans.changes(_node_deltas(spark, d)))
-    return nodes.unionByName(orphans.orphan_references(_people_references(spark, d), orphans.changes(_people_deltas(spark, d))))
+    nodes = orphans.orphan_references(_node_references(spark, d), _node_deltas(spark, d))
+    return nodes.unionByName(orphans.orphan_references(_people_references(spark, d), _people_deltas(spark, d)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
