@@ -241,6 +241,34 @@ def test_no_group_is_unbounded_and_copies_keep_exact_neighbours(spark, monkeypat
     assert len(got) == len(x) and all(len(v) == k for v in got.values()) and np.mean(hits) >= 0.9
 
 
+def test_cells_of_a_large_index_are_not_divided_for_their_visitors():
+    x = blobs(6000, 3, 32, 1.0)
+    total, cell = 200 * len(x), 8000
+    tree = V.Tree(x, total, 10, cell=cell, block=2 * cell)
+    visits = tree.route(x)[1].sum(axis=1).mean()
+    assert visits > 4 and tree.size() <= 3 * total / cell and np.mean([len(p) for p in tree.places(x)]) <= 1.05 * visits
+
+
+def test_visits_in_several_passes_give_the_same_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELL", 100)
+    monkeypatch.setattr(V, "BLOCK", 200)
+    monkeypatch.setattr(V, "CALIBRATION", 1000)
+    x = np.concatenate([blobs(800, 3, 16, 1.0), np.repeat(blobs(1, 1), 400, axis=0)])
+    entries = spark.createDataFrame([("a", n, v.tolist(), at(1)) for n, v in enumerate(x)], SCHEMA)
+    indexes = spark.createDataFrame([("a", 16)], "name string, dim int")
+    monkeypatch.setattr(V, "VISITS_AT_ONCE", 100.0)
+    trees = V.fit_trees(entries, indexes, 5)
+    assert V.turns(trees) == 1 and trees["a"].visits > 1.5
+    rows = lambda: {(r.node_id, r["rank"]): (r.neighbour, round(r.similarity, 5)) for r in V.nearest(entries, indexes, 5).collect()}
+    whole = rows()
+    monkeypatch.setattr(V, "VISITS_AT_ONCE", (trees["a"].visits - 1) / 3)
+    assert V.turns(V.fit_trees(entries, indexes, 5)) == 3
+    parts = rows()
+    assert set(parts) == set(whole) and len(whole) == 5 * len(x)
+    assert np.mean([parts[key] == whole[key] for key in whole]) > 0.99
+    assert all(parts[n, 1] == whole[n, 1] for n in range(800, 1200))
+
+
 def test_copies_weigh_in_density():
     x = np.eye(8, dtype=np.float32)
     x[3] = V.unit_rows(x[2:3] + 0.3 * x[3:4])[0]
