@@ -249,6 +249,22 @@ def test_cells_of_a_large_index_are_not_divided_for_their_visitors():
     assert visits > 4 and tree.size() <= 3 * total / cell and np.mean([len(p) for p in tree.places(x)]) <= 1.05 * visits
 
 
+def test_links_of_a_large_index_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELL", 100)
+    monkeypatch.setattr(V, "BLOCK", 200)
+    x = blobs(2500, 3, 32, 0.4)
+    entries = spark.createDataFrame([("a", n, v.tolist(), at(1)) for n, v in enumerate(x)], SCHEMA)
+    indexes = spark.createDataFrame([("a", 32)], "name string, dim int")
+    seen = {}
+    monkeypatch.setattr(C, "hierarchy", lambda placed, of=C.hierarchy: seen.setdefault("n", placed.selectExpr("sum(size(places)) AS n").first().n) and of(placed))
+    members, _ = C.clustered(entries, indexes)
+    assert V.fit_trees(entries, indexes, 10)["a"].visits > 4 and seen["n"] <= 2 * len(x)
+    by = {}
+    for r in members.collect():
+        by.setdefault(r.cluster_key, set()).add(r.node_id)
+    assert len(by) == 3 and sum(map(len, by.values())) > 0.9 * len(x)
+
+
 def test_visits_in_several_passes_give_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(V, "CELL", 100)
     monkeypatch.setattr(V, "BLOCK", 200)

@@ -1,7 +1,7 @@
 """Clusters of mutually similar vectors by hierarchical density clustering, with size and most typical members.
 
 Exact copies are one weighted vertex, named by a 64-bit hash of index and vector. The cells of the k-means tree, each
-of which also holds the vectors within the tree's margin, give the mutual-reachability graph of the vertices' neighbours, each cell only the
+of which also holds the vectors within a margin (LINKS cells a vector on average, as the links need only join what the check below settles), give the mutual-reachability graph of the vertices' neighbours, each cell only the
 edges of its own minimum spanning forest (no other edge can be in the whole one). Borůvka's first rounds go on inside the cells, for
 components of vertices that are in no other cell, whose least edge there is the least of all. The further rounds over
 DataFrames make the minimum spanning forest of all cells: every component takes its least edge, components hook on to each other,
@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import vectors as V
-from trellis.tables import written
+from trellis.tables import discard, written
 
 NEIGHBOURS = 10
 CORE = 5
+LINKS = 1.5  # cells a vector, on average
 MIN_SIZE = 8
 CLOSEST = 0.15  # distances below this count alike, so that a few copies do not outweigh a cluster
 LEAST_TO_MEAN = 0.65
@@ -302,6 +303,7 @@ def forest(edges: DataFrame, at_once: int | None = None) -> tuple[DataFrame, Dat
     taken: list[DataFrame] = []
     comps: DataFrame | None = None
     while live.count() > at_once:
+        before = live
         sides = [live.select(F.col(c).alias("c"), F.struct("w", "a", "b", F.col(o).alias("p"), "own").alias("e")) for c, o in (("ca", "cb"), ("cb", "ca"))]
         picks = written(sides[0].unionByName(sides[1]).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"))
         taken.append(picks.select("a", "b", "w", "own").distinct())
@@ -319,6 +321,7 @@ def forest(edges: DataFrame, at_once: int | None = None) -> tuple[DataFrame, Dat
             live = live.join(roots.select(F.col("c").alias(end), F.col("p").alias("_" + end)), end).drop(end).withColumnRenamed("_" + end, end)
         pairs = live.where(F.col("ca") != F.col("cb")).groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
         live = written(pairs.agg(F.min(F.struct("w", "a", "b", "own")).alias("e")).select("ca", "cb", "e.a", "e.b", "e.w", "e.own"))
+        discard(before)
     last = written(live.repartition(1).mapInArrow(_finish, "a bigint, b bigint, w double, own bigint"))  # bound: at_once edges
     taken.append(last.where("w IS NOT NULL"))
     comps = _renamed(comps, last.where("w IS NULL").select(F.col("a").alias("c"), F.col("b").alias("p")))
@@ -386,7 +389,9 @@ def hierarchy(placed: DataFrame) -> DataFrame:
     last = comps.select(F.col("v").alias("comp"), F.col("comp").alias("last"))
     rows = _parts(rows.join(last, "comp", "left").withColumn("comp", F.coalesce("last", "comp")).drop("last"), MOST)
     buckets = 1 + graph.where(F.col("kind") == VERTEX).count() // BUCKET
-    return written(rows.groupBy(F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket")).applyInArrow(_condense, LABEL))
+    labels = written(rows.groupBy(F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket")).applyInArrow(_condense, LABEL))
+    discard(graph, taken, comps)
+    return labels
 
 
 def vertex() -> Column:
@@ -528,7 +533,7 @@ def _settled(vectors: DataFrame, begun: Stated, typical: Typical) -> tuple[Means
 
 def clustered(entries: DataFrame, indexes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (index_name, node_id, cluster_key, similarity, labelled: whether by the hierarchy's own label) and clusters (index_name, cluster_key, size, exemplars)."""
-    trees = V.fit_trees(entries, indexes, NEIGHBOURS)
+    trees = V.fit_trees(entries, indexes, NEIGHBOURS, LINKS)
     vectors = written(V.current_routed(V.packed(entries, indexes), trees))
     labels = hierarchy(vectors)
     means, kept, typical, joined = _settled(vectors, *_begun(vectors, labels))
@@ -536,9 +541,10 @@ def clustered(entries: DataFrame, indexes: DataFrame) -> tuple[DataFrame, DataFr
     while kept:  # a cluster may have been cut by a border of cells, or hidden in a greater one that didn't hold
         turn += 1
         left = written(_assign(vectors, means, taken=False).select("index_name", "node_id", F.lit(None).cast("timestamp").alias("updated_at"), "vec"))
-        further = hierarchy(V.routed(left, V.fit_packed(left, NEIGHBOURS, 7 + turn)))
+        further = hierarchy(V.routed(left, V.fit_packed(left, NEIGHBOURS, 7 + turn, LINKS)))
         begun, members = _begun(left, further)
         holds = {x: begun[x] for x, s in _restated(_assign(left, _directions(begun))).items() if s[0] >= MIN_SIZE}
+        discard(left)
         if not holds:
             break
         again = _settled(vectors, kept | holds, typical | members)
