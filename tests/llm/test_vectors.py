@@ -249,6 +249,17 @@ def test_cells_of_a_large_index_are_not_divided_for_their_visitors():
     assert visits > 4 and tree.size() <= 3 * total / cell and np.mean([len(p) for p in tree.places(x)]) <= 1.05 * visits
 
 
+def test_labels_do_not_depend_on_a_size_of_components(spark, monkeypatch):
+    x = np.concatenate([blobs(400, 1, 16, 0.2), blobs(300, 1, 16, 0.4), V.unit_rows(RNG.normal(size=(20, 16)))])
+    rows = [("a", n, v.tobytes(), [1]) for n, v in enumerate(x)]
+    placed = spark.createDataFrame(rows, "index_name string, node_id bigint, vec binary, places array<bigint>")
+    labels = lambda: {r.ids[0]: (r.cluster, round(r.persistence, 9), r.place) for r in C.hierarchy(placed).collect()}
+    whole = labels()
+    assert len(whole) > 600
+    monkeypatch.setattr(C, "MOST", 50)
+    assert labels() == whole
+
+
 def test_links_of_a_large_index_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(V, "CELL", 100)
     monkeypatch.setattr(V, "BLOCK", 200)

@@ -7,8 +7,7 @@ components of vertices that are in no other cell, whose least edge there is the
 DataFrames make the minimum spanning forest of all cells: every component takes its least edge, components hook on to each other,
 pointers are doubled, edges contracted; what at most AT_ONCE edges are left of is finished in one task by the same rounds. The
 forest's components go in buckets of bounded size through the condensed hierarchy and the stability-based selection, which give
-each vertex its cluster and persistence. A component of more than MOST vertices loses its longest edges first until its parts
-are smaller; parts of one cluster come together again below.
+each vertex its cluster and persistence. A component is never cut, whatever its size: it goes whole through one task, in flat arrays.
 
 The definition's exact check over all vectors follows. Clusters begin with the mean of their most persistent
 members; those that don't have MIN_SIZE vectors near enough go, those of too similar means are joined (Borůvka's rounds
@@ -22,6 +21,7 @@ than MIN_SIZE has no cluster; a vector equally near two means goes to the first
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -45,7 +45,7 @@ EXEMPLARS = 5
 TYPICAL = 32  # most persistent members that a cluster's first mean is taken from
 AT_ONCE = 1 << 17  # edges
 BUCKET = 1 << 16  # vertices
-MOST = 1 << 18  # vertices of a component
+MOST = 1 << 18  # vertices of a component, for _parts()
 MEANS_PER_PASS = 20_000
 HEAVY, SALTS = 1000, 32  # a vertex of a thousandth of all rows is joined over salts
 VERTEX, EDGE, BORDER = 0, 1, 2  # kinds of graph rows
@@ -116,17 +116,15 @@ def contracted(n: int, a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> tupl
 
 def condensed(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int, widest: float, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Selected cluster (or -1) and persistence of each vertex, from forest edges in ascending order of w; a vertex counts as `weight` copies."""
-    root = list(range(n))
+    root = array("q", range(n))
     members: dict[int, list[int]] = {}
-    copies = [1] * n if weight is None else weight.tolist()
-    size = list(copies)
-    cluster = [-1] * n  # of a component's root
-    # per cluster: sum of the members' death levels, members, children, own members' (vertex, level), stability
-    deaths: list[float] = []
-    count: list[int] = []
-    children: list[tuple[int, ...]] = []
-    leave: list[list[tuple[int, float]]] = []
-    stability: list[float] = []
+    copies = np.ones(n, np.int64) if weight is None else weight
+    size = array("q", copies.tolist())
+    cluster = array("q", [-1]) * n  # of a component's root
+    joined, reached = array("q", [-1]) * n, array("d", [0.0]) * n  # the cluster and level at which a vertex comes in
+    # per cluster: sum of the members' death levels, members, children, parent, stability
+    deaths, count, stability, parent = array("d"), array("q"), array("d"), array("q")
+    children: dict[int, tuple[int, int]] = {}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -134,67 +132,58 @@ def condensed(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int
             x = root[x]
         return x
 
-    for x in range(n):
-        if copies[x] >= min_size:  # copies enough to be a cluster
-            cluster[x] = len(count)
-            deaths.append(copies[x] / CLOSEST)
-            count.append(copies[x])
-            children.append(())
-            leave.append([(x, 1.0 / CLOSEST)])
-            stability.append(0.0)
-    for i, j, d in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-        p, q = find(i), find(j)
-        if size[p] < size[q]:
-            p, q = q, p
-        level = 1.0 / max(d, CLOSEST)
-        cp, cq = cluster[p], cluster[q]
-        if cp >= 0 and cq >= 0:
-            for c in (cp, cq):
-                stability[c] = deaths[c] - count[c] * level
-            deaths.append((count[cp] + count[cq]) * level)
-            count.append(count[cp] + count[cq])
-            children.append((cp, cq))
-            leave.append([])
-            stability.append(0.0)
-            cluster[p] = len(count) - 1
-        elif cp >= 0:
-            small = members.pop(q, [q])
-            leave[cp] += [(x, level) for x in small]
-            deaths[cp] += size[q] * level
-            count[cp] += size[q]
-        else:
-            own = members.pop(p, [p]) + members.pop(q, [q])
-            held = size[p] + size[q]
-            if held >= min_size:
-                cluster[p] = len(count)
-                deaths.append(held * level)
-                count.append(held)
-                children.append(())
-                leave.append([(x, level) for x in own])
-                stability.append(0.0)
+    def born(held: int, level: float) -> int:
+        deaths.append(held * level)
+        count.append(held)
+        stability.append(0.0)
+        parent.append(-1)
+        return len(count) - 1
+
+    for x in np.flatnonzero(copies >= min_size).tolist():  # copies enough to be a cluster
+        cluster[x] = joined[x] = born(size[x], 1.0 / CLOSEST)
+        reached[x] = 1.0 / CLOSEST
+    for at in range(0, len(a), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        for i, j, d in zip(a[part].tolist(), b[part].tolist(), w[part].tolist(), strict=True):
+            p, q = find(i), find(j)
+            if size[p] < size[q]:
+                p, q = q, p
+            level = 1.0 / max(d, CLOSEST)
+            cp, cq = cluster[p], cluster[q]
+            if cp >= 0 and cq >= 0:
+                for c in (cp, cq):
+                    stability[c] = deaths[c] - count[c] * level
+                cluster[p] = parent[cp] = parent[cq] = born(count[cp] + count[cq], level)
+                children[cluster[p]] = (cp, cq)
             else:
-                members[p] = own
-        root[q] = p
-        size[p] += size[q]
-    tops = {cluster[find(x)] for x in range(n)} - {-1}
-    for c in tops:
-        stability[c] = deaths[c] - count[c] / widest
-    best = list(stability)
-    keep = [True] * len(count)
+                own = members.pop(q, None) or [q]
+                if cp >= 0:
+                    deaths[cp] += size[q] * level
+                    count[cp] += size[q]
+                else:
+                    own += members.pop(p, None) or [p]
+                    if size[p] + size[q] >= min_size:
+                        cp = cluster[p] = born(size[p] + size[q], level)
+                if cp >= 0:
+                    for x in own:
+                        joined[x], reached[x] = cp, level
+                else:
+                    members[p] = own
+            root[q] = p
+            size[p] += size[q]
+    best, keep = array("d", stability), [True] * len(count)
     for c in range(len(count)):  # children come before their parents
-        below = sum(best[x] for x in children[c])
-        if children[c] and below > stability[c]:
-            best[c], keep[c] = below, False
-    label, persistence = np.full(n, -1), np.zeros(n)
-    for top in tops:
-        stack = [(top, -1)]
-        while stack:
-            c, chosen = stack.pop()
-            chosen = chosen if chosen >= 0 else c if keep[c] else -1
-            for x, level in leave[c]:
-                label[x], persistence[x] = chosen, level
-            stack += [(x, chosen) for x in children[c]]
-    return label, persistence
+        if parent[c] < 0:
+            stability[c] = best[c] = deaths[c] - count[c] / widest
+        if c in children:
+            below = sum(best[x] for x in children[c])
+            if below > stability[c]:
+                best[c], keep[c] = below, False
+    chosen = np.full(len(count) + 1, -1)  # the last one is for vertices without a cluster
+    for c in range(len(count) - 1, -1, -1):
+        above = chosen[parent[c]] if parent[c] >= 0 else -1
+        chosen[c] = above if above >= 0 else c if keep[c] else -1
+    return chosen[np.array(joined, np.int64)], np.array(reached, np.float64)
 
 
 def mutual_graph(x: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, core: int = CORE, least_link: float = LOOSE_LINK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,9 +327,9 @@ def _renamed(comps: DataFrame | None, roots: DataFrame) -> DataFrame:
 def _condense(t: pa.Table) -> pa.Table:
     """Cluster and persistence of the vertices of some whole components, and their place among their cluster's most persistent members."""
     is_edge = t.column("kind").to_numpy() != VERTEX
-    vertices = t.filter(pa.array(~is_edge)).sort_by("a")
+    vertices = t.select(["index_name", "a", "w", "ids"]).filter(pa.array(~is_edge)).sort_by("a")
     v, weight = vertices.column("a").to_numpy(), vertices.column("w").to_numpy().astype(np.int64)
-    e = t.filter(pa.array(is_edge))
+    e = t.select(["a", "b", "w"]).filter(pa.array(is_edge))
     a, b, w = (e.column(c).to_numpy() for c in ("a", "b", "w"))
     order = np.lexsort((b, a, w))
     label, persistence = condensed(len(v), np.searchsorted(v, a[order]), np.searchsorted(v, b[order]), w[order], MIN_SIZE, 1 - LOOSE_LINK, weight)
@@ -358,7 +347,10 @@ def _condense(t: pa.Table) -> pa.Table:
 
 
 def _parts(rows: DataFrame, most: int) -> DataFrame:
-    """Graph rows with components of at most `most` vertices: too large ones lose a fifth of their edges, the longest, at a time."""
+    """Graph rows with components of at most `most` vertices: too large ones lose a fifth of their edges, the longest, at a time.
+
+    No query cuts components any more, as labels would depend on the input's size.
+    """
     turn = 0
     while True:
         turn += 1
@@ -387,7 +379,7 @@ def hierarchy(placed: DataFrame) -> DataFrame:
     further = taken.select(none("string").alias("index_name"), F.lit(EDGE).alias("kind"), "a", "b", "w", F.col("own").alias("comp"), none("array<bigint>").alias("ids"))
     rows = graph.where(F.col("kind") != BORDER).drop("other").unionByName(further)
     last = comps.select(F.col("v").alias("comp"), F.col("comp").alias("last"))
-    rows = _parts(rows.join(last, "comp", "left").withColumn("comp", F.coalesce("last", "comp")).drop("last"), MOST)
+    rows = rows.join(last, "comp", "left").withColumn("comp", F.coalesce("last", "comp")).drop("last")
     buckets = 1 + graph.where(F.col("kind") == VERTEX).count() // BUCKET
     labels = written(rows.groupBy(F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket")).applyInArrow(_condense, LABEL))
     discard(graph, taken, comps)
